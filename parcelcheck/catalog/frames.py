@@ -132,6 +132,7 @@ ECOREGIONS_SQL = """
 
 def _views(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
     """Run a shared SELECT over parquet tables, passed as arguments."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})

@@ -450,7 +450,7 @@ G18_SQL = Q.ctes(
 def g18(spark, sf):
     rows = stage(measured(spark, sf).select("k", "geom", "mrr_ratio"), "measured")
     plane = V.table_plane(rows, "geom", "plane").where(F.col("mrr_ratio") < 1.1)
-    shrunk = plane.withColumn("eroded", O.buffer(F.col("plane"), -5.0))
+    shrunk = O.add_buffer(plane, "plane", "eroded", -5.0)
     return shrunk.select("k", scaled(R.area(F.col("eroded")), 100).alias("eroded_cm"))
 
 
@@ -458,7 +458,7 @@ def g18(spark, sf):
 def g18_nonconvex(spark, sf):
     rows = X.shapes(spark, sf).where((F.col("k") % 12 == 9))
     plane = R.settle(rows, plane=P.to_utm(F.col("geom"), F.lit(43), F.lit(False)))
-    shrunk = plane.withColumn("eroded", O.buffer(F.col("plane"), -4.0))
+    shrunk = O.add_buffer(plane, "plane", "eroded", -4.0)
     return shrunk.select("k", F.size("eroded").alias("parts"), scaled(R.area(F.col("eroded")), 100).alias("eroded_cm"))
 
 

@@ -14,7 +14,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcheck.functions import rings as R
@@ -256,25 +256,27 @@ def shrink_convex(ring: Column, metres: float) -> Column:
     )
 
 
-def buffer(geom: Column, metres: float) -> Column:
-    """Buffer of a geometry in metres.
+def add_buffer(df: DataFrame, geom: str, out: str, metres: float) -> DataFrame:
+    """Buffer of a geometry column in metres.
 
     Shrinking a single convex ring is column arithmetic; every other shape
     goes through the Arrow helper.
     """
+    g = F.col(geom)
     if metres == 0:
-        return geom
-    oriented = R.orient(geom)
+        return df.withColumn(out, g)
+    oriented = R.orient(g)
     plain = F.lit(False)
     if metres < 0:
         only = F.get(F.get(oriented, F.lit(0)), F.lit(0))
-        plain = (F.size(geom) == 1) & (F.size(F.flatten(geom)) == 1) & R.is_convex(only)
-    settled = F.coalesce(plain | (F.size(geom) == 0), F.lit(True))
-    helper = _per_geometry(lambda g: offset(g, metres))(F.when(~settled, oriented))
-    if metres > 0:
-        return F.when(F.size(geom) == 0, geom).otherwise(helper)
-    return (
-        F.when(F.size(geom) == 0, geom)
-        .when(plain, shrink_convex(F.get(F.get(oriented, F.lit(0)), F.lit(0)), -metres))
-        .otherwise(helper)
-    )
+        plain = (F.size(g) == 1) & (F.size(F.flatten(g)) == 1) & R.is_convex(only)
+    ready = R.settle(df, _oriented=oriented, _plain=F.coalesce(plain | (F.size(g) == 0), F.lit(True)))
+    o = F.col("_oriented")
+    helper = _per_geometry(lambda shape: offset(shape, metres))
+    ready = ready.withColumn("_helped", helper(F.when(~F.col("_plain"), o)))
+    result = F.when(F.size(o) == 0, o)
+    if metres < 0:
+        ring = F.get(F.get(o, F.lit(0)), F.lit(0))
+        result = result.when(F.col("_plain"), shrink_convex(ring, -metres))
+    result = result.otherwise(F.col("_helped"))
+    return R.settle(ready, **{out: result}).drop("_oriented", "_plain", "_helped")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import cells as C
-from parcelcheck.operators.outline import buffer
+from parcelcheck.operators.outline import add_buffer
 from parcelcheck.operators.skew import join_per_key
 
 BLOCK = 2000
@@ -144,11 +144,8 @@ def validate_overlap(
     self-join. The zone of the plane comes from the bounds of all rows.
     """
     plane = table_plane(df.withColumn("_ok", F.lit(True) if eligible is None else eligible), geom, "_plane")
-    shrunk = (
-        plane.where(F.col("_ok"))
-        .select(id_column, "_plane")
-        .withColumn("_plane", buffer(F.col("_plane"), buffer_m))
-    )
+    chosen = plane.where(F.col("_ok")).select(id_column, "_plane")
+    shrunk = add_buffer(chosen, "_plane", "_plane", buffer_m)
     partners = overlap_partners(shrunk, id_column, "_plane", min_overlap, cell_m)
     return join_per_key(df, partners, [id_column], [F.xxhash64(geom)]).withColumn(
         "overlap_ids", F.coalesce("overlap_ids", F.lit(""))
