@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parcelcheck.functions.rings import GEOM_DDL, settle
 from parcelcheck.functions.text import from_wkt
-from parcelcheck.functions.trace import trace_polygon
+from parcelcheck.functions.trace import named_trace_polygon
 from parcelcheck.session import spread
 
 COUNTRY = "IND"
@@ -153,7 +153,7 @@ def shapes(
     rows = traces(spark, sf_dir, scale).select(
         "k", F.col("k").cast("string").alias("subplot_id"), "trace"
     )
-    return settle(spread(rows), geom=trace_polygon(F.col("trace"), accuracy, zero_valid)).drop("trace")
+    return settle(spread(rows), geom=named_trace_polygon("trace", accuracy, zero_valid)).drop("trace")
 
 
 def _rectangles(layer: DataFrame) -> DataFrame:

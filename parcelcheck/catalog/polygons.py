@@ -12,7 +12,7 @@ from parcelcheck.catalog.registry import query, scaled
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
 from parcelcheck.functions.text import to_geojson
-from parcelcheck.functions.trace import parse_trace, trace_polygon
+from parcelcheck.functions.trace import parse_trace
 from parcelcheck.operators import lookup as J
 from parcelcheck.operators import measure as M
 from parcelcheck.operators import outline as O

@@ -5,6 +5,8 @@ A trace is ``lat lon altitude accuracy`` per vertex, vertices joined by ``;``.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def parse_trace(
     return F.when(text.isNotNull(), let(F.split(text, ";"), summary))
 
 
+@cache
+def named_trace_polygon(
+    column: str, accuracy_m: float = GPS_ACCURACY_M, accuracy_zero_valid: bool = True
+) -> Column:
+    """:func:`trace_polygon` of a named column, built once per process."""
+    return trace_polygon(F.col(column), accuracy_m, accuracy_zero_valid)
+
+
 def trace_polygon(
     text: Column, accuracy_m: float = GPS_ACCURACY_M, accuracy_zero_valid: bool = True
 ) -> Column:

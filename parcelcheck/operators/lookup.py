@@ -88,7 +88,7 @@ def tile_layer(layer: DataFrame, geom: str = "geom", tile: float = TILE_DEG) ->
     return cells.select(*keep, "cx", "cy", F.flatten(F.transform(rings, R.ring_edges)).alias("piece"))
 
 
-def add_ecoregion(
+def ecoregion_per_id(
     df: DataFrame,
     layer: DataFrame,
     id_column: str,
@@ -96,34 +96,51 @@ def add_ecoregion(
     name: str = "ecoregion",
     tile: float = TILE_DEG,
 ) -> DataFrame:
-    """Name of the layer row sharing the largest area with the shape.
+    """(id, name) of the layer row sharing the largest area with a shape of the id.
 
-    Rows of the same name are not added up. Rows with one id take one result,
-    the one of the largest shared area; shapes without a match get NULL.
+    Layer rows of the same name are not added up.
     """
-    shapes = (
-        df.where(F.size(geom) > 0)
-        .select(id_column, R.bbox(F.col(geom)).alias("box"), R.edges(F.col(geom)).alias("edges"))
-        .withColumn("shape", F.xxhash64("edges"))
+    shapes = df.where(F.size(geom) > 0).select(id_column, F.col(geom).alias("_g"))
+    # Copies of one shape under one id count once.
+    shapes = R.settle(
+        shapes.dropDuplicates([id_column, "_g"]),
+        box=R.bbox(F.col("_g")),
+        edges=R.edges(F.col("_g")),
     )
     region = layer.withColumn("_region", F.xxhash64(name, geom))
     pieces = tile_layer(region.select("_region", name, geom), geom, tile)
     shared = C.place(shapes, "box", tile).join(pieces, ["cx", "cy"])
     per_cell = shared.select(
         id_column,
-        "shape",
+        F.xxhash64("_g").alias("_shape"),
         "_region",
         name,
         C.overlap_area(F.col("edges"), F.col("piece"), F.col("box"), F.col("box")).alias("a"),
-    ).where(F.col("a") > 0)
-    # Copies of a shape under one id add the same cells again: keep one per cell set.
-    best = (
-        per_cell.groupBy(id_column, "shape", "_region", name)
+    )
+    return (
+        per_cell.groupBy(id_column, "_shape", "_region", name)
         .agg(F.sum("a").alias("a"))
+        .where(F.col("a") > 0)
         .groupBy(id_column)
         .agg(F.max_by(name, F.struct("a", name)).alias(name))
     )
-    return join_per_key(df, best, [id_column], [F.xxhash64(geom)])
+
+
+def add_ecoregion(
+    df: DataFrame,
+    layer: DataFrame,
+    id_column: str,
+    geom: str = "geom",
+    name: str = "ecoregion",
+    tile: float = TILE_DEG,
+) -> DataFrame:
+    """Add the name of the layer row with the largest shared area.
+
+    All rows of an id take the same name; shapes without a match get NULL.
+    """
+    best = ecoregion_per_id(df, layer, id_column, geom, name, tile)
+    others = [c for c in df.columns if c != id_column]
+    return join_per_key(df, best, [id_column], others)
 
 
 def _local_metres(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
@@ -229,6 +246,36 @@ def country_hits(
     return inside.unionByName(near)
 
 
+def country_codes(
+    shapes: DataFrame,
+    countries: DataFrame,
+    country: str,
+    reach_m: float = COUNTRY_BUFFER_M,
+    repeat_codes: bool = False,
+    tile: float = TILE_DEG,
+) -> DataFrame:
+    """``overlapping_countries`` for every ``shape`` (a unique key) with ``geom`` that has a hit."""
+    ready = R.settle(
+        shapes.where(F.size("geom") > 0), box=R.bbox(F.col("geom")), edges=R.edges(F.col("geom"))
+    ).drop("geom")
+    hits = country_hits(ready, countries.where(F.col("iso3") == country), reach_m, tile)
+    codes = (
+        hits.dropDuplicates(["shape", "_region"])
+        if repeat_codes
+        else hits.select("shape", "iso3").distinct()
+    )
+    return codes.groupBy("shape").agg(
+        F.array_join(F.array_sort(F.collect_list("iso3")), ";").alias("overlapping_countries")
+    )
+
+
+def with_country_flag(df: DataFrame, country: str) -> DataFrame:
+    """No hit gives the text ``nan``; the flag compares the text with the code."""
+    return df.withColumn(
+        "overlapping_countries", F.coalesce("overlapping_countries", F.lit("nan"))
+    ).withColumn("in_country", F.col("overlapping_countries") == country)
+
+
 def validate_country(
     df: DataFrame,
     countries: DataFrame,
@@ -240,25 +287,11 @@ def validate_country(
 ) -> DataFrame:
     """Add ``overlapping_countries`` (codes joined by ``;``) and ``in_country``.
 
-    A shape without a hit gets the text ``nan`` and is not in the country. By
-    default a code is listed once; ``repeat_codes`` lists it per layer row.
+    By default a code is listed once; ``repeat_codes`` lists it per layer
+    row. Every distinct geometry is looked up once.
     """
-    keyed = df.withColumn("shape", F.xxhash64(geom))
-    shapes = (
-        keyed.where(F.size(geom) > 0)
-        .select("shape", F.col(geom).alias("_g"))
-        .dropDuplicates(["shape", "_g"])
-        .select("shape", R.bbox(F.col("_g")).alias("box"), R.edges(F.col("_g")).alias("edges"))
-    )
-    chosen = countries.where(F.col("iso3") == country)
-    hits = country_hits(shapes, chosen, reach_m, tile)
-    codes = hits.dropDuplicates(["shape", "_region"]) if repeat_codes else hits.select("shape", "iso3").distinct()
-    per_shape = codes.groupBy("shape").agg(
-        F.array_join(F.array_sort(F.collect_list("iso3")), ";").alias("overlapping_countries")
-    )
-    return (
-        join_per_key(keyed, per_shape, ["shape"], keyed.columns[:1])
-        .drop("shape")
-        .withColumn("overlapping_countries", F.coalesce("overlapping_countries", F.lit("nan")))
-        .withColumn("in_country", F.col("overlapping_countries") == country)
-    )
+    shapes = df.select(F.col(geom).alias("shape")).distinct().withColumn("geom", F.col("shape"))
+    codes = country_codes(shapes, countries, country, reach_m, repeat_codes, tile)
+    others = [c for c in df.columns if c != geom]
+    joined = join_per_key(df, codes.withColumnRenamed("shape", geom), [geom], others)
+    return with_country_flag(joined.select(*df.columns, "overlapping_countries"), country)

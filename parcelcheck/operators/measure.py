@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,12 @@ CIRCLE_HALF_STEP = math.pi / 64
 
 def with_centroid(df: DataFrame, geom: str = "geom", out: str = "centroid") -> DataFrame:
     """Area-weighted centre in lon/lat as ``struct<area, cx, cy>``; NULL when empty."""
-    return R.settle(df, **{out: R.moments(R.edges(F.col(geom)))})
+    return R.settle(df, **{out: _moments(geom)})
+
+
+@cache
+def _moments(geom: str) -> Column:
+    return R.moments(R.edges(F.col(geom)))
 
 
 def with_own_plane(df: DataFrame, geom: str = "geom", out: str = "utm") -> DataFrame:
@@ -26,10 +32,19 @@ def with_own_plane(df: DataFrame, geom: str = "geom", out: str = "utm") -> DataF
 
     A centroid outside the UTM domain gives the empty polygon.
     """
-    c = F.col("centroid")
     df = with_centroid(df, geom) if "centroid" not in df.columns else df
+    return R.settle(df, **{out: _projected(geom)})
+
+
+# Building a long expression costs the driver more than sending it, so each is
+# built once per process and reused by name.
+
+
+@cache
+def _projected(geom: str) -> Column:
+    c = F.col("centroid")
     zone, south = P.utm_zone(c["cx"], c["cy"]), c["cy"] < 0
-    projected = (
+    return (
         F.when(F.size(geom) == 0, F.col(geom))
         .when(~P.in_utm_domain(c["cx"], c["cy"]), R.empty_geom())
         .otherwise(
@@ -39,9 +54,9 @@ def with_own_plane(df: DataFrame, geom: str = "geom", out: str = "utm") -> DataF
             )
         )
     )
-    return R.settle(df, **{out: projected})
 
 
+@cache
 def area_column(spec_generation: int, geom: str = "geom", utm: str = "utm") -> Column:
     """Square metres. Generation 1 measures in UTM, generation 2 on the ellipsoid."""
     if spec_generation == 1:
@@ -100,31 +115,41 @@ def add_area(df: DataFrame, generation: int = 1) -> DataFrame:
 
 
 def add_length_width_ratio(df: DataFrame, spec: LayerSpec) -> DataFrame:
-    rect = F.col("rect")
-    ratio = geodesic_sides_ratio(rect) if spec.geodesic else sides_ratio(rect)
-    return R.settle(df, length_width_ratio=ratio).withColumn(
+    return R.settle(df, length_width_ratio=_sides(spec.geodesic)).withColumn(
         "length_width_ratio_too_big", over(F.col("length_width_ratio"), spec.length_width_limit)
     )
 
 
+@cache
+def _sides(geodesic: bool) -> Column:
+    rect = F.col("rect")
+    return geodesic_sides_ratio(rect) if geodesic else sides_ratio(rect)
+
+
 def add_rectangle(df: DataFrame, geodesic: bool) -> DataFrame:
     """Smallest rotated rectangle: in UTM (generation 1) or in degrees (generation 2)."""
     source = "geom" if geodesic else "utm"
-    return R.settle(
-        df, rect=F.when(F.size(source) > 0, R.min_rectangle(R.vertices(F.col(source))))
-    )
+    return R.settle(df, rect=_rectangle(source))
+
+
+@cache
+def _rectangle(source: str) -> Column:
+    return F.when(F.size(source) > 0, R.min_rectangle(R.vertices(F.col(source))))
 
 
 def add_protruding_ratio(df: DataFrame, spec: LayerSpec) -> DataFrame:
-    if spec.geodesic:
-        box = F.abs(P.geodesic_ring_area(R.rectangle_ring(F.col("rect"))))
-    else:
-        box = F.col("rect")["area"]
-    return df.withColumn("mrr_ratio", F.try_divide(box, F.col("area_m2"))).withColumn(
+    return df.withColumn("mrr_ratio", F.try_divide(_box(spec.geodesic), F.col("area_m2"))).withColumn(
         "protruding_ratio_too_big", over(F.col("mrr_ratio"), spec.protruding_limit)
     )
 
 
+@cache
+def _box(geodesic: bool) -> Column:
+    if geodesic:
+        return F.abs(P.geodesic_ring_area(R.rectangle_ring(F.col("rect"))))
+    return F.col("rect")["area"]
+
+
 def add_vertex_count(df: DataFrame, spec: LayerSpec) -> DataFrame:
     out = df.withColumn("nr_vertices", R.coordinate_count(F.col("geom")))
     if spec.generation == 2:
@@ -139,10 +164,14 @@ def add_vertex_count(df: DataFrame, spec: LayerSpec) -> DataFrame:
 
 
 def add_in_radius(df: DataFrame, spec: LayerSpec) -> DataFrame:
-    shape = F.col("utm")
-    if spec.generation == 1:
-        shape = F.slice(shape, 1, 1)
-    return R.settle(df, in_radius=within_radius(shape, spec.radius_m))
+    return R.settle(df, in_radius=_in_radius(spec.generation, spec.radius_m))
+
+
+@cache
+def _in_radius(generation: int, radius_m: float) -> Column:
+    # Generation 1 looks at the first part only.
+    shape = F.slice("utm", 1, 1) if generation == 1 else F.col("utm")
+    return within_radius(shape, radius_m)
 
 
 def measure(df: DataFrame, spec: LayerSpec) -> DataFrame:

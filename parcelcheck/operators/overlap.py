@@ -14,21 +14,24 @@ from parcelcheck.operators.skew import join_per_key
 BLOCK = 2000
 
 
-def table_plane(df: DataFrame, geom: str, out: str) -> DataFrame:
-    """Project a whole table into the zone of the centre of its bounds."""
+def table_plane(df: DataFrame, geom: str, out: str, keep: Column | None = None) -> DataFrame:
+    """Project a table into the zone of the centre of its bounds.
+
+    Only rows matching ``keep`` are projected and returned; the bounds are
+    those of all rows.
+    """
     box = R.bbox(F.col(geom))
     span = df.select(box.alias("b")).agg(
         ((F.min("b.minx") + F.max("b.maxx")) / 2).alias("lon"),
         ((F.min("b.miny") + F.max("b.maxy")) / 2).alias("lat"),
     )
-    zone = span.select(P.plain_zone(F.col("lon"))).scalar()
-    south = span.select(F.col("lat") < 0).scalar()
-    return (
-        df.withColumn("_zone", zone)
-        .withColumn("_south", south)
-        .withColumn(out, P.to_utm(F.col(geom), F.col("_zone"), F.col("_south")))
-        .drop("_zone", "_south")
-    )
+    frame = span.select(
+        F.struct(P.plain_zone(F.col("lon")).alias("zone"), (F.col("lat") < 0).alias("south"))
+    ).scalar()
+    rows = df if keep is None else df.where(keep)
+    rows = rows.withColumn("_frame", frame)
+    plane = P.to_utm(F.col(geom), F.col("_frame.zone"), F.col("_frame.south"))
+    return R.settle(rows, **{out: plane}).drop("_frame")
 
 
 def _blocks(placed: DataFrame, block: int) -> DataFrame:
@@ -50,10 +53,9 @@ def overlap_pairs(
     crowded cell is cut into blocks and every pair of blocks becomes a join
     key of its own, so no task gets all pairs of a cell.
     """
+    sized = R.settle(shapes, edges=R.edges(F.col("geom")), box=R.bbox(F.col("geom")))
     sized = (
-        shapes.withColumn("edges", R.edges(F.col("geom")))
-        .withColumn("box", R.bbox(F.col("geom")))
-        .withColumn("area", R.moments(F.col("edges"))["area"])
+        R.settle(sized, area=R.moments(F.col("edges"))["area"])
         .where(F.col("area") > 0)
         .withColumn("tag", F.xxhash64("geom"))
         .drop("geom")
@@ -74,19 +76,16 @@ def overlap_pairs(
     a, b = F.col("a"), F.col("b")
     # Equal tags can only be a hash clash here; the edges then give the order.
     ordered = (a["tag"] < b["tag"]) | ((a["tag"] == b["tag"]) & (a["edges"] < b["edges"]))
-    return (
+    met = (
         left.join(right, ["cx", "cy", "lo", "hi"])
         .where((F.col("lo") < F.col("hi")) | ordered)
         .where(C.boxes_meet(a["box"], b["box"]) & C.reference_cell(a["box"], b["box"], cell_m))
-        .select(
-            a["ids"].alias("ids_a"),
-            b["ids"].alias("ids_b"),
-            (
-                C.overlap_area(a["edges"], b["edges"], a["box"], b["box"])
-                / F.least(a["area"], b["area"])
-            ).alias("ratio"),
-        )
+    )
+    shared = C.overlap_area(a["edges"], b["edges"], a["box"], b["box"])
+    return (
+        R.settle(met, ratio=shared / F.least(a["area"], b["area"]))
         .where(F.col("ratio") > min_overlap)
+        .select(a["ids"].alias("ids_a"), b["ids"].alias("ids_b"), "ratio")
     )
 
 
@@ -129,7 +128,7 @@ def overlap_partners(
     )
 
 
-def validate_overlap(
+def partners_per_id(
     df: DataFrame,
     id_column: str,
     min_overlap: float = 0.1,
@@ -138,15 +137,29 @@ def validate_overlap(
     geom: str = "geom",
     cell_m: float = 80.0,
 ) -> DataFrame:
-    """Add ``overlap_ids`` and ``percentage_overlap`` (a ratio) to every row.
+    """Overlap result per id.
 
     ``eligible`` is a predicate on the unbuffered rows; it runs below the
     self-join. The zone of the plane comes from the bounds of all rows.
     """
-    plane = table_plane(df.withColumn("_ok", F.lit(True) if eligible is None else eligible), geom, "_plane")
-    chosen = plane.where(F.col("_ok")).select(id_column, "_plane")
-    shrunk = add_buffer(chosen, "_plane", "_plane", buffer_m)
-    partners = overlap_partners(shrunk, id_column, "_plane", min_overlap, cell_m)
-    return join_per_key(df, partners, [id_column], [F.xxhash64(geom)]).withColumn(
+    test = F.lit(True) if eligible is None else eligible
+    plane = table_plane(df.select(id_column, geom, test.alias("_ok")), geom, "_plane", F.col("_ok"))
+    shrunk = add_buffer(plane.select(id_column, "_plane"), "_plane", "_plane", buffer_m)
+    return overlap_partners(shrunk, id_column, "_plane", min_overlap, cell_m)
+
+
+def validate_overlap(
+    df: DataFrame,
+    id_column: str,
+    min_overlap: float = 0.1,
+    buffer_m: float = -5.0,
+    eligible: Column | None = None,
+    geom: str = "geom",
+    cell_m: float = 80.0,
+) -> DataFrame:
+    """Add ``overlap_ids`` and ``percentage_overlap`` (a ratio) to every row."""
+    partners = partners_per_id(df, id_column, min_overlap, buffer_m, eligible, geom, cell_m)
+    others = [c for c in df.columns if c != id_column]
+    return join_per_key(df, partners, [id_column], others).withColumn(
         "overlap_ids", F.coalesce("overlap_ids", F.lit(""))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,19 +100,26 @@ def repair(
     those two rungs cannot be what repairs a row and are not run.
     """
     g = F.col(geom)
+    made = _ladder(geom, generation)
     out = df.withColumn(
         "original_vertices", F.when(F.size(g) == 1, R.coordinate_count(g)).otherwise(F.lit(0))
     )
     out = out.withColumn(geom, remove_duplicate_vertices(g, remove_duplicates))
-    out = R.settle(out, _state=state(g))
+    out = R.settle(out, _state=made["state"])
     bad = F.col("_state") == "invalid"
-    square = bad & is_square_candidate(g)
-    out = out.withColumn("_square", square)
+    out = out.withColumn("_square", bad & is_square_candidate(g))
     out = out.withColumn("_zero", zero_buffer(g, bad & ~F.col("_square")))
-    out = out.withColumn(
-        "_taken",
-        F.col("_zero").isNotNull() & accepts_zero_buffer(g, F.col("_zero")),
-    )
+    out = R.settle(out, _taken=F.col("_zero").isNotNull() & made["accepts"])
+    out = R.settle(out, _fixed=made["fixed"])
+    out = R.settle(out, **{"repair_rung": made["rung"], geom: made["final"]})
+    return out.drop("_state", "_square", "_zero", "_taken", "_fixed")
+
+
+@cache
+def _ladder(geom: str, generation: int) -> dict[str, Column]:
+    """The expressions of the ladder by name, built once per process."""
+    g, f = F.col(geom), F.col("_fixed")
+    bad = F.col("_state") == "invalid"
     fixed = (
         F.when(F.col("_square"), hull_geom(g))
         .when(F.col("_taken"), F.col("_zero"))
@@ -119,35 +127,38 @@ def repair(
     )
     if generation == 2:
         fixed = R.largest_part(R.to_area_parts(fixed))
-    out = out.withColumn("_fixed", fixed)
-    f = F.col("_fixed")
     broken = bad & ~F.col("_square") & ~F.col("_taken")
     outside = F.coalesce(out_of_bounds(f), F.lit(False))
     empty = R.empty_geom()
+    known = F.when(F.col("_state") == "missing", "missing").when(
+        F.col("_state") == "empty", "empty"
+    )
     if generation == 1:
         flat = (F.size(f) > 0) & (R.area(f) == 0)
         rung = (
-            F.when(F.col("_state") == "missing", "missing")
-            .when(F.col("_state") == "empty", "empty")
-            .when(flat | (F.size(f) == 0), "emptied: no area")
+            known.when(flat | (F.size(f) == 0), "emptied: no area")
             .when(outside, "emptied: out of bounds")
             .when(broken, "emptied: invalid")
         )
-        final = F.when(rung.isNotNull(), empty).otherwise(f)
     else:
         lost = F.col("_zero").isNotNull() & (F.size("_zero") == 0)
         rung = (
-            F.when(F.col("_state") == "missing", "missing")
-            .when(F.col("_state") == "empty", "empty")
-            .when(outside, "emptied: out of bounds")
+            known.when(outside, "emptied: out of bounds")
             .when(broken & lost, "disc")
             .when(broken, "emptied: invalid")
             .when(F.size(f) == 0, "emptied: no area")
         )
-        final = F.when(rung == "disc", disc(g)).when(rung.isNotNull(), empty).otherwise(f)
     done = F.when(F.col("_square"), "hull").when(F.col("_taken"), "zero buffer").otherwise("none")
-    out = R.settle(out, **{"repair_rung": F.coalesce(rung, done), geom: final})
-    return out.drop("_state", "_square", "_zero", "_taken", "_fixed")
+    final = F.when(rung.isNull(), f).otherwise(empty)
+    if generation == 2:
+        final = F.when(rung == "disc", disc(g)).otherwise(final)
+    return {
+        "state": state(g),
+        "accepts": accepts_zero_buffer(g, F.col("_zero")),
+        "fixed": fixed,
+        "rung": F.coalesce(rung, done),
+        "final": final,
+    }
 
 
 def repair_audit(repaired: DataFrame) -> DataFrame:

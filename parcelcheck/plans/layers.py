@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcheck.functions.trace import trace_polygon
 from parcelcheck.functions.rings import settle
-from parcelcheck.operators.lookup import add_ecoregion, validate_country
+from parcelcheck.functions.trace import named_trace_polygon
+from parcelcheck.operators.lookup import country_codes, ecoregion_per_id, with_country_flag
 from parcelcheck.operators.measure import measure
-from parcelcheck.operators.overlap import validate_overlap
+from parcelcheck.operators.overlap import partners_per_id
 from parcelcheck.operators.repair import repair
 from parcelcheck.operators.skew import HOT_ROWS, join_per_key
 from parcelcheck.params import GPS_ACCURACY_M, RAW_GPS_ACCURACY_M, LayerSpec
@@ -17,17 +19,21 @@ from parcelcheck.plans.rules import add_verdict, eligible
 from parcelcheck.session import stage
 
 
-def flag_duplicate_ids(df: DataFrame, id_column: str, spread_by, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """True on every copy of an id that occurs more than once.
-
-    Counts combine on the map side; only repeated ids go into the join.
-    """
-    repeated = (
+def repeated_ids(df: DataFrame, id_column: str) -> DataFrame:
+    """Ids that occur more than once; counts combine on the map side."""
+    return (
         df.groupBy(id_column)
         .agg(F.count(F.lit(1)).alias("_copies"))
         .where(F.col("_copies") > 1)
         .select(id_column, F.lit(True).alias("duplicate_id"))
     )
+
+
+def flag_duplicate_ids(
+    df: DataFrame, id_column: str, spread_by, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """True on every copy of an id that occurs more than once."""
+    repeated = repeated_ids(df, id_column)
     return join_per_key(df, repeated, [id_column], spread_by, hot_rows).withColumn(
         "duplicate_id", F.coalesce("duplicate_id", F.lit(False))
     )
@@ -53,24 +59,40 @@ def build_layer(
         ),
         "measured",
     )
-    out = measured
+    # Everything below reads the staged table; no join result is computed twice.
     if spec.generation == 1:
+        codes = stage(
+            country_codes(measured.select(F.col("_row").alias("shape"), "geom"), countries, spec.country)
+            .withColumnRenamed("shape", "_row"),
+            "countries",
+        )
+        placed = with_country_flag(measured.join(codes, "_row", "left"), spec.country)
+        per_id = [repeated_ids(measured, id_column)]
         if ecoregions is not None:
-            out = add_ecoregion(out, ecoregions, id_column)
-        out = validate_country(out, countries, spec.country)
-        out = flag_duplicate_ids(out, id_column, ["_row"])
-        out = stage(out, "joined")
+            per_id.append(ecoregion_per_id(measured, ecoregions, id_column))
     else:
-        out = out.withColumn("in_country", F.lit(True)).withColumn("duplicate_id", F.lit(False))
-    out = validate_overlap(
-        out,
-        id_column,
-        spec.min_overlap,
-        spec.overlap_buffer_m,
-        eligible(spec),
-        cell_m=2 * spec.radius_m,
+        placed = measured.withColumn("in_country", F.lit(True)).withColumn(
+            "duplicate_id", F.lit(False)
+        )
+        per_id = []
+    per_id.append(
+        partners_per_id(
+            placed,
+            id_column,
+            spec.min_overlap,
+            spec.overlap_buffer_m,
+            eligible(spec),
+            cell_m=2 * spec.radius_m,
+        )
+    )
+    # All are grouped by id already, so these joins need no further shuffle.
+    results = reduce(lambda x, y: x.join(y, id_column, "full_outer"), per_id)
+    out = join_per_key(placed, results, [id_column], ["_row"]).withColumn(
+        "overlap_ids", F.coalesce("overlap_ids", F.lit(""))
     )
-    if spec.generation == 2:
+    if spec.generation == 1:
+        out = out.withColumn("duplicate_id", F.coalesce("duplicate_id", F.lit(False)))
+    else:
         out = out.withColumn("percentage_overlap_float", F.col("percentage_overlap"))
     return add_verdict(out.drop("_row"), spec, geojson)
 
@@ -81,8 +103,8 @@ def checked_and_raw(rows: DataFrame, trace: str, spec: LayerSpec) -> tuple[DataF
     The raw layer keeps every vertex measured within a kilometre, accuracy
     zero included, and is neither repaired nor checked.
     """
-    strict = settle(rows, geom=trace_polygon(F.col(trace), GPS_ACCURACY_M, False))
-    raw = settle(rows, geom=trace_polygon(F.col(trace), RAW_GPS_ACCURACY_M, True))
+    strict = settle(rows, geom=named_trace_polygon(trace, GPS_ACCURACY_M, False))
+    raw = settle(rows, geom=named_trace_polygon(trace, RAW_GPS_ACCURACY_M, True))
     return build_layer(strict, spec), raw
 
 
