@@ -112,39 +112,108 @@ def nearest_nodes(
     return found
 
 
-def shortest_paths(edges: DataFrame, source: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Length of the shortest directed path from the source node to every node reached.
+HUB_LINKS = 100_000
+
 
-    ``source`` holds one ``node_id``. Each round relaxes only the nodes that
-    improved; it stops when none did. Every round is cut by a checkpoint.
+def _prepare_links(edges: DataFrame, hub_links: int) -> DataFrame:
+    """Shortest link per pair of nodes, with the links of hubs cut into parts.
+
+    ``part`` says which share of its source a link is in, ``dst_parts`` into
+    how many the links of its target are cut.
     """
-    links = cut_lineage(edges.groupBy("src", "dst").agg(F.min("length_m").alias("length_m")))
-    reached = cut_lineage(
-        source.select("node_id", F.lit(0).cast(links.schema["length_m"].dataType).alias("length_m"))
+    shortest = edges.groupBy("src", "dst").agg(F.min("length_m").alias("length_m"))
+    hubs = (
+        shortest.groupBy("src")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hub_links)
+        .select("src", F.ceil(F.col("_n") / hub_links).cast("int").alias("parts"))
     )
-    frontier = reached
-    for _ in range(max_rounds):
-        step = (
-            frontier.select(F.col("node_id").alias("src"), F.col("length_m").alias("so_far"))
-            .join(links, "src")
-            .groupBy(F.col("dst").alias("node_id"))
-            .agg(F.min(F.col("so_far") + F.col("length_m")).alias("candidate"))
+    return (
+        shortest.join(hubs, "src", "left")
+        .withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .drop("parts")
+        .join(hubs.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), "dst", "left")
+        .select("src", "part", "dst", "length_m", F.coalesce("dst_parts", F.lit(1)).alias("dst_parts"))
+    )
+
+
+def _relax(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """One round: every active node offers its length to the nodes it links to.
+
+    A row yields itself and its offer, so the table is read once per round
+    and rounds can be chained without doubling the plan.
+    """
+    copies = F.when(F.col("active"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+        F.array(F.lit(0))
+    )
+    asked = reached.withColumn("_part", F.explode(copies))
+    offered = asked.join(
+        links.withColumnRenamed("length_m", "step"),
+        F.col("active") & (F.col("node_id") == F.col("src")) & (F.col("_part") == F.col("part")),
+        "left",
+    )
+    own = F.struct("node_id", "length_m", "parts", F.lit(True).alias("own"))
+    offer = F.struct(
+        F.col("dst").alias("node_id"),
+        (F.col("length_m") + F.col("step")).alias("length_m"),
+        F.col("dst_parts").alias("parts"),
+        F.lit(False).alias("own"),
+    )
+    rows = offered.select(F.explode(F.array(own, offer)).alias("r")).select("r.*")
+    return (
+        rows.where(F.col("node_id").isNotNull())
+        .groupBy("node_id")
+        .agg(
+            F.min("length_m").alias("length_m"),
+            F.max("parts").alias("parts"),
+            F.min(F.when(F.col("own"), F.col("length_m"))).alias("_before"),
         )
-        merged = cut_lineage(
-            reached.join(step, "node_id", "full_outer").select(
-                "node_id",
-                F.least("length_m", "candidate").alias("length_m"),
-                (
-                    F.col("candidate").isNotNull()
-                    & (F.col("length_m").isNull() | (F.col("candidate") < F.col("length_m")))
-                ).alias("improved"),
-            )
+        .withColumn(
+            "active", F.col("_before").isNull() | (F.col("length_m") < F.col("_before"))
+        )
+        .drop("_before")
+    )
+
+
+def shortest_paths(
+    edges: DataFrame,
+    source: DataFrame,
+    hops: int = 4,
+    hub_links: int = HUB_LINKS,
+    max_rounds: int = 100_000,
+) -> DataFrame:
+    """Length of the shortest directed path from the source node to every node reached.
+
+    ``source`` holds one ``node_id``. Only nodes that improved in the last
+    round make offers; it stops when none did. ``hops`` rounds share a plan,
+    then the lineage is cut by a checkpoint.
+    """
+    links = cut_lineage(_prepare_links(edges, hub_links))
+    length = links.schema["length_m"].dataType
+    parts = links.select(F.col("dst").alias("node_id"), F.col("dst_parts").alias("parts")).distinct()
+    reached = (
+        source.join(parts, "node_id", "left")
+        .select(
+            "node_id",
+            F.lit(0).cast(length).alias("length_m"),
+            # A source no link leads to may still be a hub: one part more or
+            # less would lose links, so it is counted here.
+            F.coalesce("parts", _own_parts(links, source)).alias("parts"),
+            F.lit(True).alias("active"),
         )
-        reached = merged.select("node_id", "length_m")
-        frontier = merged.where("improved").select("node_id", "length_m")
-        if frontier.isEmpty():
+    )
+    for _ in range(max_rounds):
+        for _ in range(hops):
+            reached = _relax(reached, links)
+        reached = cut_lineage(reached)
+        if reached.where("active").isEmpty():
             break
-    return reached
+    return reached.select("node_id", "length_m")
+
+
+def _own_parts(links: DataFrame, source: DataFrame):
+    used = links.join(source.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    return F.coalesce(used.agg(F.max("part").alias("p")).scalar() + 1, F.lit(1))
 
 
 def road_distance(
