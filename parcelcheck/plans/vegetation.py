@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelcheck.operators.skew import HOT_ROWS, first_per_key, group_median, join_per_key
 from parcelcheck.params import MAX_CIRCUMFERENCE_CM, MAX_STEMS, OUTLIER_FACTOR, TALL_TREE_M
+from parcelcheck.session import stage
 
 # Answer codes of the form.
 PRIMARY = "yes_primary_group"
@@ -239,7 +240,12 @@ def label_outliers(value: Column, median: Column) -> tuple[Column, Column]:
 def with_outliers(
     rows: DataFrame, key: str, value: str, median_name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Group median on each row and the two outlier labels."""
+    """Group median on each row and the two outlier labels.
+
+    The rows come out of a chain of joins and are read several times here, so
+    they are staged first.
+    """
+    rows = stage(rows, "grouped")
     medians = group_median(rows, [key], value, median_name, hot_rows)
     rest = [c for c in rows.columns if c != key]
     out = join_per_key(rows, medians, [key], rest, hot_rows)
