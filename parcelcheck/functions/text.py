@@ -128,14 +128,3 @@ def feature_count(geojson: Column) -> Column:
     """Features in a FeatureCollection text; 0 when it does not read."""
     features = F.from_json(geojson, "features array<string>")["features"]
     return F.coalesce(F.size(features), F.lit(0))
-
-
-def first_ring_text(geom: Column) -> Column:
-    """Shell of the first part as ``x y`` pairs, for logs."""
-    return F.array_join(
-        F.transform(
-            F.get(F.get(geom, F.lit(0)), F.lit(0)),
-            lambda v: F.concat_ws(" ", v["x"].cast("string"), v["y"].cast("string")),
-        ),
-        ",",
-    )

@@ -29,7 +29,6 @@ FORM_V3 = _schema(
     gt_plot=S,
     **{f"gt_subplot_{i}": S for i in range(1, SUBPLOTS_PER_PLOT + 1)},
 )
-SELECTED_PLOTS = _schema(row_ix=L, plot_id=S, geometry=S, enumerator=S, collection_date=S)
 NDVI_SLOPE = _schema(plot_id=S, mean_ndvi=D, mean_slope=D)
 
 # Keys of the five linked levels, as (read name, name in the joins).
@@ -116,13 +115,11 @@ def sampled_plots(df: DataFrame, text: str = "geometry") -> DataFrame:
 def ndvi_slope(spark: SparkSession, path: str) -> DataFrame:
     """Remote-sensing attributes; only the three columns needed are read."""
     header = spark.read.option("header", True).csv(path).columns
-    full = T.StructType([T.StructField(c, dict(NDVI_SLOPE_TYPES).get(c, S)) for c in header])
+    known = {f.name: f.dataType for f in NDVI_SLOPE.fields}
+    full = T.StructType([T.StructField(c, known.get(c, S)) for c in header])
     return read_table(spark, path, "csv", full).select(*NDVI_SLOPE.names)
 
 
-NDVI_SLOPE_TYPES = [(f.name, f.dataType) for f in NDVI_SLOPE.fields]
-
-
 def attach_attributes(plots: DataFrame, attributes: DataFrame, key: str = "plot_id") -> DataFrame:
     """Left lookup of the attributes a table does not have yet.
 
