@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +26,34 @@ def local_session(cpus: int | str = 8, name: str = "parcelcheck") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as
+    in tests, it is a folder in the session's warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    made = tempfile.mkdtemp(prefix="parcelcheck-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    own = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_staged")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder, removed when the session ends."""
+    made = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path, system = _at(spark, made)
+    system.deleteOnExit(path)
+    return made
+
+
+def remove_staged(spark: SparkSession, made: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path, system = _at(spark, made)
+    system.delete(path, True)
+
+
+def _at(spark: SparkSession, made: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
