@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelcheck.llm import nearest_centroid, pairwise_quality, rule_ledger
+from parcelcheck.llm import backtrack_bpe, entropy_mix, nearest_centroid, pairwise_quality, rule_ledger
 from parcelcheck.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,15 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.rule_ledger(table(spark, sf_dir, "documents"))
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.entropy_mix(table(spark, sf_dir, "documents"))
+
+
+def op4_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return backtrack_bpe.round_trip(table(spark, sf_dir, "documents"), path)
+
+
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centroid.nearest_centroid(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_rule_ledger": op2_rule_ledger,
+    "op3_entropy_mix": op3_entropy_mix,
+    "op4_backtrack_bpe": op4_backtrack_bpe,
     "op10_nearest_centroid": op10_nearest_centroid,
 }
 
