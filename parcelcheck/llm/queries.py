@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelcheck.llm import backtrack_bpe, entropy_mix, nearest_centroid, pairwise_quality, rule_ledger
+from parcelcheck.llm import (
+    backtrack_bpe,
+    chat_events,
+    entropy_mix,
+    nearest_centroid,
+    pairwise_quality,
+    rule_ledger,
+    secret_scan,
+)
 from parcelcheck.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +38,14 @@ def op4_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack_bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_events.chat_events(table(spark, sf_dir, "conversations"))
+
+
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centroid.nearest_centroid(table(spark, sf_dir, "documents"))
 
@@ -39,7 +55,12 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_rule_ledger": op2_rule_ledger,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_backtrack_bpe": op4_backtrack_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_chat_events": op6_chat_events,
     "op10_nearest_centroid": op10_nearest_centroid,
 }
 
-LLM_ORACLES: dict[str, str] = {"op2_rule_ledger": rule_ledger.SQL}
+LLM_ORACLES: dict[str, str] = {
+    "op2_rule_ledger": rule_ledger.SQL,
+    "op6_chat_events": chat_events.SQL,
+}
