@@ -119,7 +119,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``turns`` are (role, text) in order; ``learned`` is all text under the
     loss mask. Every piece is cut once, so the work is linear in the text.
     """
-    close = F.lit(CLOSE)
     pieces = formatted.select(
         "conv_id",
         "formatted",

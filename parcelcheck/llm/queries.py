@@ -15,6 +15,7 @@ from parcelcheck.llm import (
     pairwise_quality,
     rule_ledger,
     secret_scan,
+    weighted_sampling,
 )
 from parcelcheck.llm.common import table
 
@@ -46,6 +47,10 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.chat_events(table(spark, sf_dir, "conversations"))
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.weighted_sampling(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centroid.nearest_centroid(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_backtrack_bpe": op4_backtrack_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_events": op6_chat_events,
+    "op8_weighted_sampling": op8_weighted_sampling,
     "op10_nearest_centroid": op10_nearest_centroid,
 }
 
