@@ -15,6 +15,7 @@ from parcelcheck.llm import (
     pairwise_quality,
     rule_ledger,
     secret_scan,
+    trie_join,
     weighted_sampling,
 )
 from parcelcheck.llm.common import table
@@ -47,6 +48,10 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.chat_events(table(spark, sf_dir, "conversations"))
 
 
+def op7_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.trie_join(table(spark, sf_dir, "documents"))
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.weighted_sampling(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_backtrack_bpe": op4_backtrack_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_events": op6_chat_events,
+    "op7_trie_join": op7_trie_join,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op10_nearest_centroid": op10_nearest_centroid,
 }
