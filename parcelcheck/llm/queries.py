@@ -11,6 +11,7 @@ from parcelcheck.llm import (
     backtrack_bpe,
     chat_events,
     entropy_mix,
+    fuzzy_lines,
     nearest_centroid,
     pairwise_quality,
     rule_ledger,
@@ -56,6 +57,10 @@ def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.weighted_sampling(table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centroid.nearest_centroid(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op6_chat_events": op6_chat_events,
     "op7_trie_join": op7_trie_join,
     "op8_weighted_sampling": op8_weighted_sampling,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_nearest_centroid": op10_nearest_centroid,
 }
 
