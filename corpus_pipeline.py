@@ -1,24 +1,55 @@
-"""Corpus pipeline: every stage calls one operator on all that its predecessor kept."""
+"""Corpus pipeline: every stage calls one operator on all that its predecessor kept.
+
+All stages but the last return the columns of their input. SQL can't express
+the trained classifier, so ``run`` is tested against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelcheck.llm import backtrack_bpe, entropy_mix, fuzzy_lines, pairwise_quality, trie_join
 from parcelcheck.llm.common import table
-from parcelcheck.llm.pairwise_quality import keep_good
-from parcelcheck.session import stage
+from parcelcheck.session import staging_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier, fitted on the labels, accepts."""
+    return pairwise_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; documents of which nothing is left go."""
+    return fuzzy_lines.without_emptied(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return trie_join.keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return entropy_mix.repeat_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mixed corpus, one row for each copy."""
+    return backtrack_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality classifier", quality)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mixing),
+    ("BPE encoding and decoding", tokens),
+]
 
 ORACLE_SQL: str | None = None
 
@@ -27,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = staging_path(spark, name.replace(" ", "-"))
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
