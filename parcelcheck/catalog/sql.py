@@ -22,7 +22,7 @@ def tokens(scale: int = 1) -> str:
     src AS ({X.shapes_sql(DIV, scale)}),
     tok AS (SELECT k, unnest(string_split(trace, ';')) AS t,
                    generate_subscripts(string_split(trace, ';'), 1) AS p
-            FROM src WHERE trace IS NOT NULL AND length(trace) <> 32767)"""
+            FROM src WHERE trace IS NOT NULL)"""
 
 
 def parsed(accuracy: int = 10, zero_valid: bool = True) -> str:

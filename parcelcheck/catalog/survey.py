@@ -73,14 +73,14 @@ def circumference_sql(div: str) -> str:
   WHERE l_partkey % 4 <> 0 AND l_suppkey % 7 <> 0"""
 
 
-LEVELS_SQL = f"""WITH plots AS ({PLOTS}), subplots AS ({SUBPLOTS}), vegetation AS ({VEGETATION}),
-measurement AS ({measurement_sql('//')}), circumference AS ({circumference_sql('//')}),
-m_plots AS (SELECT p.KEY AS PLOT_KEY, p.* EXCLUDE (KEY), s.KEY AS SUBPLOT_KEY, s.subplot_comments, s.gt_subplot
+LEVELS_SQL = f"""WITH plots AS MATERIALIZED ({PLOTS}), subplots AS MATERIALIZED ({SUBPLOTS}), vegetation AS MATERIALIZED ({VEGETATION}),
+measurement AS MATERIALIZED ({measurement_sql('//')}), circumference AS MATERIALIZED ({circumference_sql('//')}),
+m_plots AS MATERIALIZED (SELECT p.KEY AS PLOT_KEY, p.* EXCLUDE (KEY), s.KEY AS SUBPLOT_KEY, s.subplot_comments, s.gt_subplot
             FROM plots p JOIN subplots s ON p.KEY = s.PARENT_KEY
             WHERE cast(p.SubmissionDate AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'),
-m_veg AS (SELECT m.*, v.KEY AS VEGETATION_KEY, v.* EXCLUDE (KEY, PARENT_KEY) FROM m_plots m JOIN vegetation v ON m.SUBPLOT_KEY = v.PARENT_KEY),
-m_mea AS (SELECT m.*, x.KEY AS MEASUREMENT_KEY, x.* EXCLUDE (KEY, PARENT_KEY) FROM m_veg m JOIN measurement x ON m.VEGETATION_KEY = x.PARENT_KEY),
-m_cir AS (SELECT m.*, c.KEY AS CIRCUMFERENCE_KEY, c.* EXCLUDE (KEY, PARENT_KEY) FROM m_mea m JOIN circumference c ON m.MEASUREMENT_KEY = c.PARENT_KEY)
+m_veg AS MATERIALIZED (SELECT m.*, v.KEY AS VEGETATION_KEY, v.* EXCLUDE (KEY, PARENT_KEY) FROM m_plots m JOIN vegetation v ON m.SUBPLOT_KEY = v.PARENT_KEY),
+m_mea AS MATERIALIZED (SELECT m.*, x.KEY AS MEASUREMENT_KEY, x.* EXCLUDE (KEY, PARENT_KEY) FROM m_veg m JOIN measurement x ON m.VEGETATION_KEY = x.PARENT_KEY),
+m_cir AS MATERIALIZED (SELECT m.*, c.KEY AS CIRCUMFERENCE_KEY, c.* EXCLUDE (KEY, PARENT_KEY) FROM m_mea m JOIN circumference c ON m.MEASUREMENT_KEY = c.PARENT_KEY)
 """
 
 PARTS = {
@@ -166,10 +166,10 @@ def w4(spark, sf):
     return first_per_key(rows, ["o_custkey"], ["o_orderkey"])
 
 
-NO_VEG = "SELECT enumerator, SUBPLOT_KEY, subplot_comments FROM m_plots WHERE SUBPLOT_KEY NOT IN (SELECT SUBPLOT_KEY FROM m_veg)"
+NO_VEG = "SELECT enumerator, SUBPLOT_KEY, subplot_comments FROM m_plots m WHERE NOT EXISTS (SELECT 1 FROM m_veg v WHERE v.SUBPLOT_KEY = m.SUBPLOT_KEY)"
 
 
-@query("j7_without_vegetation", LEVELS_SQL + "SELECT SUBPLOT_KEY FROM m_plots WHERE SUBPLOT_KEY NOT IN (SELECT SUBPLOT_KEY FROM m_veg)")
+@query("j7_without_vegetation", LEVELS_SQL + "SELECT SUBPLOT_KEY FROM m_plots m WHERE NOT EXISTS (SELECT 1 FROM m_veg v WHERE v.SUBPLOT_KEY = m.SUBPLOT_KEY)")
 def j7(spark, sf):
     lv = levels(spark, sf)
     return V.without(lv.plots, lv.vegetation, "SUBPLOT_KEY").select("SUBPLOT_KEY")
@@ -198,7 +198,7 @@ def a1(spark, sf):
     )
 
 
-MISSING = "SELECT enumerator, SUBPLOT_KEY, subplot_comments, crop_comments, non_woody_species, coverage_vegetation FROM m_veg WHERE SUBPLOT_KEY NOT IN (SELECT SUBPLOT_KEY FROM m_mea)"
+MISSING = "SELECT enumerator, SUBPLOT_KEY, subplot_comments, crop_comments, non_woody_species, coverage_vegetation FROM m_veg m WHERE NOT EXISTS (SELECT 1 FROM m_mea x WHERE x.SUBPLOT_KEY = m.SUBPLOT_KEY)"
 ONLY = "(SELECT SUBPLOT_KEY FROM m_veg GROUP BY SUBPLOT_KEY HAVING coalesce(sum(vegetation_type_number), 0) = 0)"
 
 
@@ -217,7 +217,7 @@ def q3(spark, sf):
     return V.coverage_against_missing(lv.vegetation, lv.measurement)
 
 
-REVERTED = f"SELECT SUBPLOT_KEY, string_agg(DISTINCT enumerator, ';') AS enumerator FROM m_veg WHERE SUBPLOT_KEY IN {ONLY} AND SUBPLOT_KEY NOT IN (SELECT SUBPLOT_KEY FROM ({MISSING}) u) GROUP BY SUBPLOT_KEY"
+REVERTED = f"SELECT SUBPLOT_KEY, string_agg(DISTINCT enumerator, ';') AS enumerator FROM m_veg r WHERE SUBPLOT_KEY IN {ONLY} AND NOT EXISTS (SELECT 1 FROM ({MISSING}) u WHERE u.SUBPLOT_KEY = r.SUBPLOT_KEY) GROUP BY SUBPLOT_KEY"
 
 
 @query("j9_reverted", LEVELS_SQL + f"SELECT SUBPLOT_KEY FROM ({REVERTED}) r")
@@ -303,6 +303,21 @@ def a5(spark, sf):
     )
 
 
+HALF = "CASE WHEN l_orderkey % 2 = 0 THEN -1 WHEN l_suppkey % 10 = 3 THEN NULL ELSE l_suppkey END"
+
+
+@query(
+    "a4_hot_median",
+    f"SELECT {HALF} AS grp, median(CASE WHEN l_linenumber <> 7 THEN cast(l_quantity AS DOUBLE) END) AS m FROM lineitem GROUP BY 1",
+)
+def a4_hot(spark, sf):
+    """One key holds half of the rows, others have few; one key is null."""
+    rows = X.table(spark, sf, "lineitem").select(
+        F.expr(HALF).alias("grp"), F.expr("CASE WHEN l_linenumber <> 7 THEN cast(l_quantity AS DOUBLE) END").alias("v")
+    )
+    return group_median(rows, ["grp"], "v", "m")
+
+
 @query(
     "a4_group_medians",
     LEVELS_SQL

@@ -146,7 +146,10 @@ def short_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
 def geodesic_distance(
     lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 12
 ) -> Column:
-    """Metres along the ellipsoid, Vincenty's inverse with a fixed number of rounds."""
+    """Metres along the ellipsoid, Vincenty's inverse.
+
+    NULL where the rounds don't converge, as between nearly antipodal points.
+    """
 
     def reduced(lat: Column) -> Column:
         return F.atan((1 - FLAT) * F.tan(F.radians(lat)))
@@ -215,6 +218,6 @@ def geodesic_distance(
             F.aggregate(
                 F.sequence(F.lit(1), F.lit(rounds)), s["l"], lambda lam, _: next_lambda(s, lam)
             ),
-            lambda lam: solve(s, lam, length),
+            lambda lam: F.when(F.abs(next_lambda(s, lam) - lam) < 1e-10, solve(s, lam, length)),
         ),
     )

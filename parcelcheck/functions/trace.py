@@ -55,19 +55,32 @@ def parse_trace(
 
 @cache
 def named_trace_polygon(
-    column: str, accuracy_m: float = GPS_ACCURACY_M, accuracy_zero_valid: bool = True
+    column: str,
+    accuracy_m: float = GPS_ACCURACY_M,
+    accuracy_zero_valid: bool = True,
+    cell_limit: int | None = None,
 ) -> Column:
     """:func:`trace_polygon` of a named column, built once per process."""
-    return trace_polygon(F.col(column), accuracy_m, accuracy_zero_valid)
+    return trace_polygon(F.col(column), accuracy_m, accuracy_zero_valid, cell_limit)
+
+
+def cut_at_limit(text: Column, cell_limit: int = TRACE_CELL_LIMIT) -> Column:
+    """True if a spreadsheet cell of this limit may have cut the text."""
+    return F.coalesce(F.length(text) == cell_limit, F.lit(False))
 
 
 def trace_polygon(
-    text: Column, accuracy_m: float = GPS_ACCURACY_M, accuracy_zero_valid: bool = True
+    text: Column,
+    accuracy_m: float = GPS_ACCURACY_M,
+    accuracy_zero_valid: bool = True,
+    cell_limit: int | None = None,
 ) -> Column:
     """Polygon of a trace; unusable traces give the empty polygon.
 
-    Unusable: no text, text cut at the cell limit, fewer than three vertices,
-    or fewer than four kept per skipped one.
+    Unusable: no text, fewer than three vertices, fewer than four kept per
+    skipped one, and, only where ``cell_limit`` is given because the text comes
+    from a spreadsheet, a text of exactly that length. Such rows can be told
+    by :func:`cut_at_limit`.
     """
 
     def build(t: Column) -> Column:
@@ -76,6 +89,9 @@ def trace_polygon(
             polygon(close_ring(t["kept"]))
         )
 
-    return F.when(
-        text.isNull() | (F.length(text) == TRACE_CELL_LIMIT), empty_geom()
-    ).otherwise(let(parse_trace(text, accuracy_m, accuracy_zero_valid), build))
+    unusable = text.isNull()
+    if cell_limit is not None:
+        unusable = unusable | cut_at_limit(text, cell_limit)
+    return F.when(unusable, empty_geom()).otherwise(
+        let(parse_trace(text, accuracy_m, accuracy_zero_valid), build)
+    )

@@ -64,30 +64,21 @@ def _order_bucket(value: Column) -> Column:
 
 
 def group_median(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, keys: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """Exact median per key, nulls skipped.
 
-    Ordinary keys use the built-in aggregate. Hot keys are counted per value,
-    then per value bucket; only the buckets holding the middle ranks are
-    looked at value by value, so no task sees a whole hot group.
+    One way for all keys: values are counted, then value buckets; only the
+    buckets holding the middle ranks are looked at value by value. Counts
+    combine on the map side, so no task sees all rows of a group. A key
+    without a value has a NULL median.
     """
     keys = list(keys)
-    present = rows.select(*keys, F.col(value).cast("double").alias("_v"))
-    hot = hot_keys(present, keys, hot_rows)
-    cold = present.join(F.broadcast(hot), keys, "left_anti")
-    plain = cold.groupBy(*keys).agg(F.median("_v").alias(name))
-
     counted = (
-        present.where(F.col("_v").isNotNull())
-        .join(F.broadcast(hot), keys, "left_semi")
+        rows.select(*keys, F.col(value).cast("double").alias("_v"))
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", _order_bucket(F.col("_v")))
+        .agg(F.count("_v").alias("_n"))
+        .withColumn("_b", F.coalesce(_order_bucket(F.col("_v")), F.lit(0)))
     )
     by_key = Window.partitionBy(*keys)
     buckets = (
@@ -101,10 +92,14 @@ def group_median(
             (F.col("_before") < F.col("_hi"))
             & (F.col("_before") + F.col("_bn") >= F.col("_lo"))
         )
+        .withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_b": "_kb"})
     )
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
     middle = (
-        counted.join(buckets, [*keys, "_b"])
+        counted.join(buckets, same)
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_bucket))
         .groupBy(*keys)
         .agg(
@@ -113,7 +108,7 @@ def group_median(
         )
         .select(*keys, ((F.col("_vl") + F.col("_vh")) / 2).alias(name))
     )
-    return plain.unionByName(middle)
+    return middle
 
 
 def first_per_key(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelcheck.functions import project as P
 from parcelcheck.operators.measure import with_centroid
@@ -55,11 +56,12 @@ def network_near(
     return kept, inside
 
 
-def nearest_nodes(
-    points: DataFrame, nodes: DataFrame, cell: float, rounds: int = 24
-) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     """Nearest road node of every point (``point_id, lon, lat``), ties by node id.
 
+    Points without a place on the globe have no row, and none has one if there
+    are no nodes; every other point gets its node however far it is.
+
     Each round looks at the cells within ``ring`` steps and doubles the ring
     for the points still open. A hit counts only when it is closer than the
     ring is wide, so no nearer node can lie outside it. Distances are planar,
@@ -72,13 +74,20 @@ def nearest_nodes(
         F.floor(F.col("lon") / cell).alias("cx"),
         F.floor(F.col("lat") / cell).alias("cy"),
     )
-    open_points = points.select("point_id", "lon", "lat")
+    nodes_known = placed.where(F.col("nlon").isNotNull() & F.col("nlat").isNotNull())
+    open_points = points.select("point_id", "lon", "lat").where(
+        (F.abs("lat") <= 90) & (F.abs("lon") <= 360)
+    )
     found, ring = None, 1
-    for _ in range(rounds):
+    if nodes_known.isEmpty():
+        return nodes.sparkSession.createDataFrame(
+            [], T.StructType([points.schema["point_id"], nodes.schema["node_id"]])
+        )
+    while True:
         # The ring is walked on ever coarser cells, so a point always meets
         # nine of them; the nodes are only re-keyed.
         size = cell * ring
-        keyed = placed.withColumn("cx", F.floor(F.col("nlon") / size)).withColumn(
+        keyed = nodes_known.withColumn("cx", F.floor(F.col("nlon") / size)).withColumn(
             "cy", F.floor(F.col("nlat") / size)
         )
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -107,9 +116,8 @@ def nearest_nodes(
         found = best if found is None else found.unionByName(best)
         open_points = cut_lineage(open_points.join(best, "point_id", "left_anti"))
         if open_points.isEmpty():
-            break
+            return found
         ring *= 4
-    return found
 
 
 HUB_LINKS = 100_000
@@ -180,7 +188,6 @@ def shortest_paths(
     source: DataFrame,
     hops: int = 4,
     hub_links: int = HUB_LINKS,
-    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Length of the shortest directed path from the source node to every node reached.
 
@@ -202,13 +209,12 @@ def shortest_paths(
             F.lit(True).alias("active"),
         )
     )
-    for _ in range(max_rounds):
+    while True:  # lengths are not negative, so offers run out
         for _ in range(hops):
             reached = _relax(reached, links)
         reached = cut_lineage(reached)
         if reached.where("active").isEmpty():
-            break
-    return reached.select("node_id", "length_m")
+            return reached.select("node_id", "length_m")
 
 
 def _own_parts(links: DataFrame, source: DataFrame):

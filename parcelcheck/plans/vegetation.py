@@ -246,7 +246,7 @@ def with_outliers(
     they are staged first.
     """
     rows = stage(rows, "grouped")
-    medians = group_median(rows, [key], value, median_name, hot_rows)
+    medians = group_median(rows, [key], value, median_name)
     rest = [c for c in rows.columns if c != key]
     out = join_per_key(rows, medians, [key], rest, hot_rows)
     upper, lower = label_outliers(F.col(value), F.col(median_name))
