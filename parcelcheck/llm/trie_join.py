@@ -10,8 +10,9 @@ of the hash). Documents with equal sets are folded into one first. Then
    pair stays if the count, what frequent shingles could add and what the rest
    of the range could add reach the bound. A document with more than a fifth
    of its set among such shingles must share one with any partner;
-3. all other documents meet on the first shingles of their whole sets, rarest
-   first, so long that no partner can be missed;
+3. all other documents meet as in step 1, now led by those with most frequent
+   shingles, and then on the first shingles of their whole sets, rarest first,
+   so long that no partner of another group can be missed;
 4. candidates are verified in blocks: the sets of a block form a prefix tree
    which the block's leader walks, sharing partial overlaps of common prefixes
    and leaving subtrees that can't reach the bound any more.
@@ -100,15 +101,22 @@ def bucket_keys(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "d1", "low").mapInArrow(run, "key long, d1 long, id long")
 
 
-def star_edges(keys: DataFrame) -> DataFrame:
-    """``(a, b)``: in every bucket, its least id a with the least id b of every other set.
+def star_edges(keys: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: in every bucket, one set's id a with the least id b of every other set.
 
-    Copies have all keys in common, so the least id of a set within a bucket
-    is the one that stands for the set everywhere.
+    The one is the set with the largest weight in ``(id, weight)``, or the one
+    of the least id. Copies have all keys in common, so the least id of a set
+    within a bucket is the one that stands for the set everywhere.
     """
     sets = keys.groupBy("key", "d1").agg(F.min("id").alias("id"))  # folds copies on the map side
-    first = sets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return sets.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    weighed = sets.withColumn("weight", F.lit(0.0)) if weights is None else sets.join(weights, "id")
+    first = (
+        weighed.groupBy("key")
+        .agg(F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("key", (-F.col("first.least")).alias("a"))
+    )
+    return weighed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def group_pairs(tokens: DataFrame) -> DataFrame:
@@ -190,12 +198,14 @@ def rare_first(sets: DataFrame) -> DataFrame:
         "at", F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
     )
     shared = ranked.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(0.8 * F.col("n")) + 1))
-    probe = shared.select("h", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"))
+    probe = shared.select("h", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"))
     index = shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1).select(
-        "h", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb")
+        "h", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib")
     )
     met = probe.join(index, "h").where(
         (F.col("ga") != F.col("gb"))
+        # the pair's first common shingle leaves so much of both sets, the others leave less
+        & (9 * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) >= 4 * (F.col("na") + F.col("nb")))
         & (5 * F.col("nb") >= 4 * F.col("na"))
         & ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
     )
@@ -356,7 +366,10 @@ def trie_join(docs: DataFrame) -> DataFrame:
     classes_path = staging_path(spark, "classes")
     classes.write.parquet(classes_path)
     classes = spark.read.schema(classes.schema).parquet(classes_path)
-    first_links = verify(star_edges(bucket_keys(filled)), docs)
+    keys_path = staging_path(spark, "bucket-keys")
+    bucket_keys(filled).write.parquet(keys_path)
+    keys = spark.read.schema("key long, d1 long, id long").parquet(keys_path)
+    first_links = verify(star_edges(keys), docs)
     grouped = components(first_links)
     groups = classes.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
     labelled = filled.join(groups.dropDuplicates(["id"]), F.col("doc_id") == F.col("id")).select("id", "n", "low", "grp")
@@ -389,10 +402,16 @@ def trie_join(docs: DataFrame) -> DataFrame:
         )
         .select("a", "b")
     )
-    unsafe = facts.where("5 * (low - often) <= n").select("id", "n", "grp")
-    whole = sets_of(docs, unsafe.select("id")).join(unsafe, "id").select("id", "grp", "n", "s")
+    unsafe = facts.where("5 * (low - often) <= n")
+    # what other documents were edited from has most frequent shingles: it leads the second stars
+    centres = unsafe.select("id", (F.col("often") / (F.col("low") + 1)).alias("weight"))
+    more_links = verify(star_edges(keys, centres), docs)
+    links = first_links.union(more_links)
+    regrouped = components(links).withColumnRenamed("component", "__c")
+    open_sets = unsafe.join(regrouped, "id", "left").select("id", "n", F.coalesce("__c", "id").alias("grp"))
+    whole = sets_of(docs, open_sets.select("id")).join(open_sets, "id").select("id", "grp", "n", "s")
     candidates = near.union(rare_first(whole)).distinct()
-    links = first_links.union(verify(candidates, docs))
+    links = links.union(verify(candidates, docs))
     joined = components(links)
     names = classes.join(joined, "id", "left").select(
         "d1", "d2", F.col("n").alias("n_set"), F.coalesce("component", "id").alias("component_id")
