@@ -89,7 +89,7 @@ def test_join_equals_brute_force(spark, monkeypatch, frequent):
 
 def test_join_without_provisional_groups(spark, monkeypatch):
     """Steps 2 and 3 alone find every link."""
-    monkeypatch.setattr(trie_join, "star_edges", lambda keys: keys.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(trie_join, "star_edges", lambda keys, weights=None: keys.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     rows = planted(2)
     got = trie_join.trie_join(spark.createDataFrame(rows, DOCS)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_groups(rows)
