@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelcheck import params as C
@@ -740,14 +740,17 @@ def v4(spark, sf):
 
 A2_SQL = (
     Q.ctes(*Q.measured())
-    + f"""SELECT reason, count(*) AS n FROM (SELECT trim(unnest(string_split(reasons, ';'))) AS reason
+    + f"""SELECT reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, reason) AS place FROM (SELECT trim(unnest(string_split(reasons, ';'))) AS reason
 FROM ({MEASURE_ONLY.format(lo=450, hi=750)}) t) u WHERE reason <> '' GROUP BY reason"""
 )
 
 
 @query("a2_reason_counts", A2_SQL)
 def a2(spark, sf):
-    return reports.reason_counts(measured_reasons(spark, sf, C.SUBPLOTS_V1, 1))
+    counts = reports.reason_counts(measured_reasons(spark, sf, C.SUBPLOTS_V1, 1))
+    # one row for each rule
+    order = Window.orderBy(F.col("n").desc(), "reason")
+    return counts.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 @query(

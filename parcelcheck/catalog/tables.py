@@ -12,8 +12,11 @@ from parcelcheck.catalog import sql as Q
 from parcelcheck.catalog.registry import query, scaled
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
+from parcelcheck.functions.rings import settle
+from parcelcheck.functions.trace import named_trace_polygon
 from parcelcheck.operators import reshape as H
 from parcelcheck.operators.skew import number_rows
+from parcelcheck.operators.steps import StepLog
 from parcelcheck.plans import layers, ndvi, reports, roads, rules
 from parcelcheck.session import stage, staging_path
 from parcelcheck.sources import forms as S
@@ -391,10 +394,10 @@ def s10(spark, sf):
 
 @query(
     "s11_sampled_export",
-    "SELECT 'SP' || cast(doc_id AS VARCHAR) AS plot_id, lang AS collection_date FROM documents WHERE doc_id % 8 < 2",
+    "SELECT 'SP' || cast(doc_id AS VARCHAR) AS plot_id, lang AS collection_date FROM documents WHERE doc_id % 8 <= 2",
 )
 def s11(spark, sf):
-    good, _ = rules.quarantine(selected(spark, sf).where(F.col("k") % 8 < 2))
+    good, _ = rules.quarantine(selected(spark, sf))
     langs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("collection_date"))
     path = staging_path(spark, "selected")
     W.write_sampled(good.join(langs, "k"), path)
@@ -473,18 +476,18 @@ def t2_status(spark, sf):
     return reports.status_order(verdicts(spark, sf).select("k", "valid"), "k")
 
 
-@query("o1_step_metrics", Q.ctes(Q.tokens()) + "SELECT count(*) AS rows, count(trace) AS with_trace, 1 AS steps FROM src")
+@query(
+    "o1_step_metrics",
+    Q.ctes(Q.tokens(), Q.parsed())
+    + """SELECT 'read' AS step, count(*) AS rows, 2 AS columns, count(*) - count(trace) AS empty FROM src
+UNION ALL SELECT 'shape', count(*), 2, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.k = s.k)) FROM src s""",
+)
 def o1(spark, sf):
-    from pyspark.sql import Observation
-
-    watch = Observation("parse")
-    rows = X.traces(spark, sf).observe(watch, F.count(F.lit(1)).alias("rows"), F.count("trace").alias("with_trace"))
-    # The counters fill while the step is written; nothing is computed twice.
-    done = stage(rows.select("k", "trace"), "observed")
-    got = watch.get
-    return done.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(got["with_trace"]).alias("with_trace"), F.lit(1).alias("steps")
-    )
+    log = StepLog()
+    read = log.run("read", X.traces(spark, sf).select("k", "trace"), F.col("trace").isNull())
+    shapes = settle(read, geom=named_trace_polygon("trace")).select("k", "geom")
+    log.run("shape", shapes, F.size("geom") == 0)
+    return log.table(spark).select("step", "rows", "columns", "empty")
 
 
 # --- remote sensing -------------------------------------------------------

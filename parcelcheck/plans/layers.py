@@ -101,10 +101,13 @@ def checked_and_raw(rows: DataFrame, trace: str, spec: LayerSpec) -> tuple[DataF
     """Generation 2: the checked layer and, beside it, the raw one.
 
     The raw layer keeps every vertex measured within a kilometre, accuracy
-    zero included, and is neither repaired nor checked.
+    zero included, and is neither repaired nor checked. A layer without any
+    shape is returned unchecked.
     """
     strict = settle(rows, geom=named_trace_polygon(trace, GPS_ACCURACY_M, False))
     raw = settle(rows, geom=named_trace_polygon(trace, RAW_GPS_ACCURACY_M, True))
+    if strict.where(F.size("geom") > 0).isEmpty():
+        return strict, raw
     return build_layer(strict, spec), raw
 
 

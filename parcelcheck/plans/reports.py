@@ -28,11 +28,12 @@ def reason_items(reasons: Column) -> Column:
 
 
 def reason_counts(df: DataFrame) -> DataFrame:
-    """How often each rule failed."""
+    """How often each rule failed, the most frequent first."""
     return (
         df.select(F.explode(reason_items(F.col("reasons"))).alias("reason"))
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.col("n").desc(), "reason")
     )
 
 
