@@ -241,11 +241,11 @@ def test_lines_equal_brute_force(spark):
     assert sum(len(t or "") for t in want.values()) < 0.7 * sum(len(t or "") for _, t in rows)
 
 
-def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
-    monkeypatch.setattr(fuzzy_lines, "PART_WORDS", 7)  # several parts
+def test_simhash_is_the_majority_of_bits(spark):
     frame = spark.createDataFrame([(1, " ".join(f"w{k % 9} v{k}" for k in range(50)))], DOCS)
     lines = fuzzy_lines.eligible_lines(frame)
-    hashes = [r.h for r in lines.select(F.explode("w").alias("x")).select(F.xxhash64("x").alias("h")).collect()]
+    pairs = F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> xxhash64(w[i - 1], w[i]))")).alias("h")
+    hashes = [r.h for r in lines.select(pairs).collect()]
     want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
     assert fuzzy_lines.with_simhash(lines).first().sim & (2**64 - 1) == want
 
