@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelcheck import params as C
+from parcelcheck.functions import project, trace
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import overlap, skew
+from parcelcheck.operators.steps import StepLog
 from parcelcheck.plans import layers, reports, roads, rules, vegetation
 
 
@@ -156,3 +158,59 @@ def test_reason_ladder(spark):
 def test_totals_of_an_empty_layer(spark):
     row = reports.validity_totals(spark.createDataFrame([], "valid boolean")).first()
     assert (row["total"], row["valid_pct"], row["invalid_pct"]) == (0, 0.0, 0.0)
+
+
+def test_nearest_nodes_of_far_points_and_without_nodes(spark):
+    points = spark.createDataFrame(
+        [("near", 0.001, 0.001), ("far", 120.0, -60.0), ("none", None, 1.0), ("off", 1.0, 95.0)],
+        "point_id string, lon double, lat double",
+    )
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.5)], "node_id long, lon double, lat double")
+    got = {r.point_id: r.node_id for r in roads.nearest_nodes(points, nodes, 0.01).collect()}
+    assert got == {"near": 1, "far": 1}
+    assert roads.nearest_nodes(points, nodes.limit(0), 0.01).count() == 0
+
+
+def test_long_chain_of_links(spark):
+    edges = spark.createDataFrame([(k, k + 1, 2) for k in range(60)], "src long, dst long, length_m long")
+    source = spark.createDataFrame([(0,)], "node_id long")
+    got = {r.node_id: r.length_m for r in roads.shortest_paths(edges, source, hops=8).collect()}
+    assert got == {k: 2 * k for k in range(61)}
+
+
+def test_median_of_null_keys_and_null_groups(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", None), ("b", -2.0), ("b", 0.0), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in skew.group_median(df, ["k"], "v", "m").collect()}
+    assert got == {None: 2.0, "a": None, "b": 0.0}
+
+
+def test_trace_of_the_cell_limit(spark):
+    vertex = "0.5000 0.5000 0 1;0.5000 0.5010 0 1;0.5010 0.5010 0 1;"
+    text = (vertex * 1000)[: C.TRACE_CELL_LIMIT - 20].rsplit(";", 1)[0]
+    text += ";" + "0.5 0.5 0 ".ljust(C.TRACE_CELL_LIMIT - len(text) - 1, "1")
+    assert len(text) == C.TRACE_CELL_LIMIT
+    row = spark.createDataFrame([(text,)], "t string").select(
+        F.size(trace.trace_polygon(F.col("t"))).alias("kept"),
+        F.size(trace.trace_polygon(F.col("t"), cell_limit=C.TRACE_CELL_LIMIT)).alias("dropped"),
+        trace.cut_at_limit(F.col("t")).alias("cut"),
+    ).first()
+    assert (row.kept, row.dropped, row.cut) == (1, 0, True)
+
+
+def test_no_distance_between_antipodes(spark):
+    row = spark.range(1).select(
+        project.geodesic_distance(F.lit(0.0), F.lit(0.0), F.lit(179.7), F.lit(0.3)).alias("far"),
+        project.geodesic_distance(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(10.0)).alias("fine"),
+        project.geodesic_distance(F.lit(5.0), F.lit(5.0), F.lit(5.0), F.lit(5.0)).alias("same"),
+    ).first()
+    assert row.far is None and row.fine > 9e6 and row.same == 0.0
+
+
+def test_step_log(spark):
+    log = StepLog()
+    rows = spark.range(10).withColumn("v", F.when(F.col("id") % 2 == 0, F.col("id")))
+    log.run("one", rows, F.col("v").isNull(), F.col("v") > 4)
+    log.run("two", rows.limit(0), F.col("v").isNull())
+    got = [tuple(r)[:5] for r in log.table(spark).collect()]
+    assert got == [("one", 10, 2, 5, 2), ("two", 0, 2, 0, 0)]
