@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelcheck.functions.rings import settle
 from parcelcheck.llm.common import count_of, hash_share, held_out, text_of, words_of
 
 #: Labelled rows the model is fitted on, at most.
@@ -159,5 +160,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(labelled_sample(docs, labels))
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text"))
-    scored = features(packed, ["__row"]).where(score_column(model) >= 0.5)
-    return scored.select("__row.*")
+    # settled, or the filter would copy every feature's words and lines into itself
+    scored = settle(features(packed, ["__row"]), __score=score_column(model))
+    return scored.where(F.col("__score") >= 0.5).select("__row.*")
