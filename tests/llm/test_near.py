@@ -241,6 +241,31 @@ def test_lines_equal_brute_force(spark):
     assert sum(len(t or "") for t in want.values()) < 0.7 * sum(len(t or "") for _, t in rows)
 
 
+def test_near_lines_by_edit_similarity_alone(spark):
+    """Lines around the bound of a fifth, in a vocabulary that makes chance candidates; no SimHash bound."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghijklmnopqrst") * 3
+    rows = []
+    for k in range(80):
+        base = [word() for _ in range(rng.choice([5, 6, 8, 9, 10, 14, 15, 20, 40]))]
+        for m in range(3):
+            line = list(base)
+            for _ in range(rng.randint(0, len(base) // 5 + 1)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.choice([0, 1, 1])] = [word()] * rng.choice([0, 1, 1])
+            rows.append((3 * k + m, " ".join(line)))
+    at = {norm_words(t): d for d, t in reversed(rows) if len(norm_words(t)) >= fuzzy_lines.MIN_WORDS}
+    links = [(at[a], at[b]) for a, b in combinations(at, 2) if edits(a, b) <= max(len(a), len(b)) // 5]
+    home = groups(at.values(), links)
+    first = {}
+    for d, text in rows:
+        if norm_words(text) in at:
+            first.setdefault(home[at[norm_words(text)]], d)
+    want = {d: norm_words(t) in at and first[home[at[norm_words(t)]]] != d for d, t in rows}
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {r.doc_id: r.text == "" for r in got} == want and sum(want.values()) > 80
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     frame = spark.createDataFrame([(1, " ".join(f"w{k % 9} v{k}" for k in range(50)))], DOCS)
     lines = fuzzy_lines.eligible_lines(frame)
