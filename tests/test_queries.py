@@ -59,3 +59,17 @@ def test_every_sql_has_a_query():
 
 def test_entry_counts_reasons(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_erosion_takes_every_shape(spark):
+    """Every order's shape has a row; concave traces give what they gave alone."""
+    from parcelcheck.catalog import frames as X
+    from parcelcheck.catalog import polygons
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.k: r for r in polygons.g18_nonconvex(spark, sf).collect()}
+    ids = {r.k for r in X.shapes(spark, sf).select("k").collect()}
+    assert set(got) == ids and len({k % 12 for k in got}) == 12
+    concave = [r for k, r in got.items() if k % 12 == 9]
+    assert concave and all(r.parts > 0 and r.eroded_cm > 0 for r in concave)
+    assert any(r.parts > 0 for k, r in got.items() if k % 12 != 9)
