@@ -270,14 +270,14 @@ def test_large_blocks_are_cut_and_the_largest_group_never_meets_itself(spark, mo
     monkeypatch.setattr(fuzzy_lines, "BLOCK_ROWS", 50)
     rng = random.Random(4)
     ids = list({rng.randrange(-(2**62), 2**62) for _ in range(1200)})
-    rows = [(1, k, 9, 7 if i < 600 else k) for i, k in enumerate(ids[:601])]  # a large group and an outsider
-    rows += [(2, k, 9, k % 3) for k in ids[601:900]] + [(3, k, 9, 5) for k in ids[900:]]
-    left, right = fuzzy_lines.sides(spark.createDataFrame(rows, "key long, k long, n_words int, grp long"))
+    rows = [(1, k, 9, 0, 7 if i < 600 else k) for i, k in enumerate(ids[:601])]  # a large group and an outsider
+    rows += [(2, k, 9, 0, k % 3) for k in ids[601:900]] + [(3, k, 9, 0, 5) for k in ids[900:]]
+    left, right = fuzzy_lines.sides(spark.createDataFrame(rows, "key long, k long, n_words int, bits long, grp long"))
     met = left.join(right, ["key", "x", "y"])
     cells = met.groupBy("key", "x", "y").count().agg(F.max("count")).first()[0]
     assert met.where("key = 1").count() == 601 and met.where("key = 3").count() == 0 and cells < 10_000
     got = {(min(r.k, r.k2), max(r.k, r.k2)) for r in met.where("grp <> grp2").collect()}
-    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in combinations(rows, 2) if a[0] == b[0] and a[3] != b[3]}
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in combinations(rows, 2) if a[0] == b[0] and a[4] != b[4]}
     assert got == want
 
 
