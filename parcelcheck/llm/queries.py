@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelcheck.llm import (
     backtrack_bpe,
     chat_events,
+    disclosure,
     entropy_mix,
     fuzzy_lines,
     nearest_centroid,
@@ -65,6 +66,10 @@ def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centroid.nearest_centroid(table(spark, sf_dir, "documents"))
 
 
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.disclosure(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_rule_ledger": op2_rule_ledger,
@@ -76,6 +81,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_nearest_centroid": op10_nearest_centroid,
+    "op11_disclosure": op11_disclosure,
 }
 
 LLM_ORACLES: dict[str, str] = {
