@@ -14,9 +14,11 @@ from parcelcheck.llm import (
     entropy_mix,
     fuzzy_lines,
     nearest_centroid,
+    norm_buckets,
     pairwise_quality,
     rule_ledger,
     secret_scan,
+    token_alignment,
     trie_join,
     weighted_sampling,
 )
@@ -70,6 +72,15 @@ def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.disclosure(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.norm_buckets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_rule_ledger": op2_rule_ledger,
@@ -82,9 +93,12 @@ LLM_QUERIES: dict[str, Query] = {
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_nearest_centroid": op10_nearest_centroid,
     "op11_disclosure": op11_disclosure,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_norm_buckets": op13_norm_buckets,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op2_rule_ledger": rule_ledger.SQL,
     "op6_chat_events": chat_events.SQL,
+    "op13_norm_buckets": norm_buckets.SQL,
 }

@@ -7,4 +7,4 @@ import __spark_entry__ as entry
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(m[1]) for name in entry.queries() if (m := re.match(r"op(\d+)_", name)))
-    assert numbers == list(range(1, 12)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
