@@ -158,7 +158,9 @@ def _hashed(term: Column) -> list[Column]:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(h, g, n)``: how often the corpus holds each word; g is its stem's hash."""
     words = docs.select(F.explode(F.split(text_of(text), _BLANK)).alias("p")).select(F.expr(_term("p")).alias("w"))
-    return words.where(F.length("w") >= LETTERS).select(*_hashed(F.col("w"))).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
+    hashed = words.where(F.length("w") >= LETTERS).select(*_hashed(F.col("w")))
+    # dealt by the word: some stems have a large share of the words
+    return hashed.groupBy("h").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("n"))
 
 
 def disclosures(facts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
