@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,12 @@ HOT = 50_000
 #: Characters that are encoded at once.
 CHUNK_CHARS = 500_000
 
+#: How text is cut before the merges of byte-level BPE (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose class is the same in all versions of Unicode, and the longest run of them that the faster encoder takes.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u052f]*")
+RUN = 400
+
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -45,6 +52,7 @@ class Pair:
     def __init__(self, byte_file: str, piece_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_file)
@@ -55,7 +63,12 @@ class Pair:
         letters = byte_letters()
         size = self.a.get_vocab_size(with_added_tokens=True)
         tokens = [self.a.id_to_token(i) or "" for i in range(size)]
-        self.bytes_a = _table([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens])
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        values = [t.encode() if t in special else bytes(letters[c] for c in t) for t in tokens]
+        self.bytes_a = _table(values)
+        # the same vocabulary, whose ids are the ranks of its merges, for the encoder without offsets
+        ranks = {v: i for i, (v, t) in enumerate(zip(values, tokens)) if t not in special}
+        self.fast = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = _table(
             [
@@ -63,7 +76,8 @@ class Pair:
                 for i, p in enumerate(pieces)
             ]
         )
-        self.names = [str(i) for i in range(max(size, len(pieces)))]
+        ids = range(max(size, len(pieces)))
+        self.marked = [np.array([f"{i}{mark}" for i in ids], dtype=object) for mark in ",|;"]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for every text, a bounded number of characters at a time."""
@@ -73,12 +87,17 @@ class Pair:
             chunk.append(text)
             held += len(text)
             if held >= CHUNK_CHARS or k == len(texts) - 1:
-                left = self.a.encode_batch_fast([" " + t for t in chunk], add_special_tokens=False)
-                right = self.b.encode(chunk, num_threads=1)
-                for x, y in zip(left, right):
-                    yield np.array(x.ids, dtype=np.int64), np.array(y, dtype=np.int64)
+                for x, y in zip(map(self.encode_a, chunk), self.b.encode(chunk, num_threads=1)):
+                    yield np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
                 chunk, held = [], 0
 
+    def encode_a(self, text: str) -> list[int]:
+        """A's ids. Plain text goes through the rank table; any other character,
+        or a very long run, through the tokenizer of the file itself."""
+        if _PLAIN.fullmatch(text) and len(max(text.split(" "), key=len)) < RUN:
+            return self.fast.encode_ordinary(" " + text)
+        return self.a.encode(" " + text, add_special_tokens=False).ids
+
     def align(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple | None:
         """``(n_a, n_b, n_groups, n_links, digest, pairs, times)``; None if the bytes of either side differ from the text's."""
         data = (" " + text).encode()
@@ -86,17 +105,22 @@ class Pair:
         if ranges(pool_a, at_a[a], size_a[a]).tobytes() != data or ranges(pool_b, at_b[b], size_b[b]).tobytes() != data:
             return None
         ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)))
+        ends = ends[np.concatenate(([True], ends[1:] != ends[:-1]))]
         in_a, in_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         both = (ends_a[in_a] == ends) & (ends_b[in_b] == ends)
-        pairs, times = np.unique((a[in_a] << 32) | b[in_b], return_counts=True)
-        names_a, names_b = [self.names[i] for i in a.tolist()], [self.names[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for x, y in zip((in_a[both] + 1).tolist(), (in_b[both] + 1).tolist()):
-            groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            i, j = x, y
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        return len(a), len(b), len(groups), len(ends), digest, pairs, times
+        code = np.sort((a[in_a] << 32) | b[in_b])
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        times = np.diff(np.concatenate((first, [len(code)])))
+        # every id with the mark that follows it, A's ids of a group before B's
+        end_a, end_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        end_a[in_a[both]], end_b[in_b[both]] = True, True
+        group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        comma, bar, semicolon = self.marked
+        names = np.concatenate((np.where(end_a, bar[a], comma[a]), np.where(end_b, semicolon[b], comma[b])))
+        digest = hashlib.sha256("".join(names[order].tolist())[:-1].encode()).hexdigest()
+        return len(a), len(b), int(both.sum()), len(ends), digest, code[first], times
 
 
 def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
