@@ -1,16 +1,20 @@
 """Line dedup across documents: equal and nearly equal lines are kept once.
 
 A line is normalised to its words in lower case without punctuation, digits as
-0. Two texts are near if at most a fifth of the longer one's words have to be
-edited. An edit touches two word pairs, so of texts d edits apart, the 2d + 1
-rarest distinct word pairs of either have one in common; those are the join
-keys, and no near text is missed. Rare goes by a sketch of counts from a sample
-of the documents: it decides how many candidates there are, not which links are
-found. In every key's block each text meets the block's first one; linked texts
-form provisional groups, and where a block holds several groups, texts of
-different groups meet in pairs. Candidates are verified by the edit similarity
-of their words. Of a connected group's lines only the first, by doc_id and
-place, stays.
+0. Its distinct words are dealt by hash to lanes, about one for sixteen words,
+and each lane has a SimHash of its own: bit i is set if more than half of the
+hashes of its LANE_WORDS least words have it. These are the pigeonhole blocks:
+an edit touches two lanes at most, so of two lines with fewer than half as many
+edits as lanes, one lane at least is the same in both, and most lines with more
+edits keep one as well (README has the measured share). Lanes are counted for
+length classes; a line near the upper end of its class has the lanes of the
+next class, too.
+
+In every block each text meets the block's first one; linked texts form
+provisional groups, and where a block holds several groups, texts of different
+groups meet in pairs. Candidates are verified by the edit similarity of their
+words: at most a fifth of the longer one's may have to be edited. Of a
+connected group's lines only the first, by doc_id and place, stays.
 
 Built-in functions only.
 """
@@ -23,21 +27,22 @@ from pyspark.sql import functions as F
 from parcelcheck.functions.rings import settle
 from parcelcheck.llm.common import sha256, text_of
 from parcelcheck.llm.components import components
-from parcelcheck.session import staging_path
-
-#: Lines of fewer words are left alone: short lines repeat for good reasons.
-MIN_WORDS = 5
-#: SimHashes of near lines may differ in this many bits: in all of them, as SimHashes choose no candidates.
-MAX_BITS = 64
-_MASK = (1 << 32) | 1
-#: Counters of the sketch that orders word pairs, and the share of the documents it counts, as 1 of so many.
-_COUNTERS = 1 << 18
-_COUNTED = 8
+from parcelcheck.llm.secret_scan import let
+from parcelcheck.session import remove_staged, staging_path
+
+#: Lines of fewer words have no near lines; as equal ones they count from so many characters on.
+MIN_WORDS, EXACT_CHARS = 5, 20
+#: A length class reaches from a length to half as much more; words of a lane, about; words that its SimHash takes at most.
+CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 16, 7
 #: Rows of one side that meet in a cell of a large block.
 BLOCK_ROWS = 1000
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TO = "abcdefghijklmnopqrstuvwxyz000000000    "
 _FILTER_BITS = 1 << 20
+#: Hash bits of a word that stand below its lane, and a counter of four bits for every fourth of them.
+_HASH = (1 << 48) - 1
+_EACH = 0x111111111111
+_BITS = 3
 
 
 def line_words(line: Column) -> Column:
@@ -46,71 +51,38 @@ def line_words(line: Column) -> Column:
 
 
 def eligible_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, k, w)`` of the lines with MIN_WORDS words or more; k is a 64-bit hash of the words."""
+    """``(doc_id, place, k, w)`` of the lines that count; k is a 64-bit hash of the words."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of("text"), "\n")).alias("place", "line")
     )
-    made = settle(rows, w=line_words(F.col("line"))).where(F.size("w") >= MIN_WORDS)
+    counts = (F.size("w") >= MIN_WORDS) | (F.length(F.array_join("w", " ")) >= EXACT_CHARS)
+    made = settle(rows, w=line_words(F.col("line"))).where(counts)
     return made.select("doc_id", "place", F.xxhash64("w").alias("k"), "w")
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """``(doc_id, place, k, n_words, sim)``: bit i is set if more than half of the hashes of
-    two neighbouring words have it. The dedup itself doesn't use it.
+def lane_keys(words: str = "w") -> Column:
+    """One key for each lane with a word: a hash of class, lane and the lane's SimHash.
 
-    A sum holds the counts of bits j and j + 32 in lanes of 32 bits (lines stay far below 2^30 words), and both
-    lanes are compared with half of the number at once.
+    The words' hashes, sorted by lane, are cut where the lane changes. Counters
+    of four bits hold up to LANE_WORDS words of a lane.
     """
-    pairs = lines.select(
-        "doc_id", "place", "k", F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> xxhash64(w[i], w[i + 1]))")).alias("h")
-    )
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_MASK))).alias(f"s{j}") for j in range(32)]
-    counted = pairs.groupBy("doc_id", "place", "k").agg(F.count(F.lit(1)).alias("n"), *sums)
-    less = (F.lit((1 << 30) - 1) - F.col("n")) * F.lit(_MASK)
-    sim = F.lit(0).cast("long")
-    for j in range(32):
-        over = F.shiftrightunsigned(2 * F.col(f"s{j}") + less, 30).bitwiseAND(F.lit(_MASK))
-        sim = sim.bitwiseOR(F.shiftleft(over, j))
-    return counted.select("doc_id", "place", "k", (F.col("n") + 1).cast("int").alias("n_words"), sim.alias("sim"))
-
-
-def word_pairs(words: str = "w") -> Column:
-    """The distinct hashes of two neighbouring words each."""
-    return F.expr(f"array_distinct(transform(sequence(0, size({words}) - 2), i -> xxhash64({words}[i], {words}[i + 1])))")
-
-
-def pair_levels(docs: DataFrame) -> bytes:
-    """One byte for each counter: the binary logarithm of how many word pairs of a sample it counted."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(_COUNTED)) == 0)
-    pairs = eligible_lines(some).select(F.explode(word_pairs()).alias("h"))
-    counts = pairs.groupBy(F.col("h").bitwiseAND(F.lit(_COUNTERS - 1)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(_COUNTERS)
-    for row in counts.collect():  # at most _COUNTERS rows
-        out[row.c] = row.n.bit_length()
-    return bytes(out)
-
-
-def rare_pairs(levels: bytes) -> Column:
-    """The keys of a text of n words: its rarest 2d + 1 word pairs, where d = n div 4 is the most
-    edits that a longer text near to it may take."""
-    counter = lambda h: h.bitwiseAND(F.lit(_COUNTERS - 1)).cast("int")
-    ranked = F.array_sort(
-        F.transform(word_pairs(), lambda h: F.struct(F.substring(F.lit(levels), counter(h) + 1, F.lit(1)).alias("l"), h.alias("h")))
+    upper = f"pow({CLASS_STEP}D, c + 1)"
+    lanes = f"(cast(floor({upper} / {WORDS_A_LANE}) as bigint) + 2)"
+    dealt = f"sort_array(transform(d, h -> shiftleft(pmod(shiftrightunsigned(h, 48), lanes), 48) | (h & {_HASH}L)))"
+    starts = "filter(sequence(0, size(v) - 1), i -> i = 0 or shiftright(v[i], 48) <> shiftright(v[i - 1], 48))"
+    counted = ", ".join(
+        f"2 * aggregate(g, 0L, (a, h) -> a + (shiftright(h, {j}) & {_EACH}L)) + ({LANE_WORDS} - size(g)) * {_EACH}L & {8 * _EACH}L"
+        for j in range(_BITS)
     )
-    return F.slice(ranked, F.lit(1), 2 * F.floor(F.size("w") / 4).cast("int") + 1)["h"]
-
-
-def word_bits(words: str = "w") -> Column:
-    """A bit for every word, by hash; an edit changes two bits at most."""
-    return F.expr(f"aggregate({words}, 0L, (b, x) -> b | shiftleft(1L, cast(pmod(xxhash64(x), 64) as int)))")
-
-
-def near(n_words: tuple[str, str], bits: tuple[str, str]) -> Column:
-    """Lengths between which a fifth of the longer one's words can make up, and words that so many
-    edits can exchange; true of every near pair."""
-    a, b = n_words
-    differ = F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(bits[1])))
-    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (differ <= 2 * F.floor(F.greatest(a, b) / 5))
+    lane = "slice(v, s[k] + 1, least(if(k + 1 < size(s), s[k + 1], size(v)) - s[k], " + f"{LANE_WORDS}))"
+    key = let("g", lane, f"xxhash64(c, shiftright(g[0], 48), {counted})")
+    keys = let("lanes", lanes, let("v", dealt, let("s", starts, f"transform(sequence(0, size(s) - 1), k -> {key})")))
+    own = f"cast(floor(ln(size({words})) / ln({CLASS_STEP}D)) as int)"
+    near_next = f"pow({CLASS_STEP}D, own + 1) * 0.9D <= size({words})"
+    classes = let("own", own, f"if({near_next}, array(own, own + 1), array(own))")
+    distinct = f"array_distinct(transform({words}, x -> xxhash64(x)))"
+    made = let("d", distinct, f"flatten(transform({classes}, c -> {keys}))")
+    return F.expr(f"if(size({words}) >= {MIN_WORDS}, {made}, cast(array() as array<bigint>))")
 
 
 def encoded(words: str = "w") -> Column:
@@ -123,47 +95,97 @@ def encoded(words: str = "w") -> Column:
 
 
 def similar(a: str, b: str) -> Column:
-    """At most a fifth of the longer one's words have to be edited."""
+    """At most a fifth of the longer one's words have to be edited.
+
+    Lengths decide first, as they cost nothing."""
     longest = f"greatest(length({a}), length({b}))"
-    return F.expr(f"levenshtein({a}, {b}, cast({longest} div 5 as int)) >= 0")
+    return F.expr(
+        f"5 * least(length({a}), length({b})) >= 4 * {longest} and levenshtein({a}, {b}, cast({longest} div 5 as int)) >= 0"
+    )
 
 
-def verify(edges: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those candidates ``(a, b)`` whose words are similar enough, written to the shared folder.
+class Staged:
+    """Tables of one run in the shared folder; each can be removed once nothing reads it."""
 
-    Words are read again from the one document line that stands for a text. A
-    bit array of fixed size keeps most other documents out of the shuffle.
-    """
-    spark = docs.sparkSession
-    edges = _staged(edges, "line-candidates")
-    ids = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
-    wanted = _staged(ids.join(firsts, "k").select("k", "doc_id", "place"), "line-places")
-    spots = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).cast("int").alias("s")).distinct()
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def write(self, rows: DataFrame, label: str) -> DataFrame:
+        path = staging_path(self.spark, label)
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove_staged(self.spark, path)
+        self.paths = []
+
+
+def _bit_test(bits: bytearray, *columns: str) -> Column:
+    spot = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.call_function("shiftright", byte.cast("int"), spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _bits_of(rows: DataFrame, *columns: str) -> bytearray:
     bits = bytearray(_FILTER_BITS // 8)
-    for row in spots.collect():  # at most _FILTER_BITS numbers
+    spot = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS)).cast("int")
+    for row in rows.select(spot.alias("s")).distinct().collect():  # at most _FILTER_BITS numbers
         bits[row.s >> 3] |= 1 << (row.s & 7)
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10)
-    bit = F.call_function("shiftright", byte.cast("int"), spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
-    likely = docs.where(bit == 1)
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "k")).alias("need"))  # lines of one document
-    texts = likely.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(places, "doc_id")
-    lines = settle(texts, parts=F.split("text", "\n")).select("parts", F.explode("need").alias("x"))
-    coded = settle(
-        lines.select(F.col("x.k").alias("k"), F.expr("get(parts, x.place)").alias("line")), w=line_words(F.col("line"))
+    return bits
+
+
+def word_sets(words: str = "w") -> list[Column]:
+    """A bit of 256 for every word, by hash, in four numbers."""
+    bit = "shiftleft(1L, cast(shiftright(h, 2) & 63 as int))"
+    sets = F.expr(
+        let(
+            "d",
+            f"transform({words}, x -> xxhash64(x))",
+            "array(" + ", ".join(f"aggregate(d, 0L, (a, h) -> if((h & 3) = {j}, a | {bit}, a))" for j in range(4)) + ")",
+        )
     )
+    return [sets.alias("sets"), F.size(words).alias("n")]
+
+
+def coded_texts(texts: DataFrame, firsts: DataFrame, docs: DataFrame, own: Staged) -> DataFrame:
+    """``(k, e, n, b0, b1, b2, b3)`` of the wanted texts ``k``, written to the shared folder.
+
+    Words are read again from the one document line that stands for a text.
+    Two bit arrays of fixed size keep most documents and most lines of the
+    others out of the shuffle.
+    """
+    wanted = own.write(texts.join(firsts, "k").select("k", "doc_id", "place"), "line-places")
+    in_docs, in_lines = _bits_of(wanted, "doc_id"), _bits_of(wanted, "doc_id", "place")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    # the documents' test comes before any text is cut
+    parts = settle(rows, likely=_bit_test(in_docs, "doc_id")).where("likely").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")
+    )
+    lines = parts.where(_bit_test(in_lines, "doc_id", "place")).join(wanted, ["doc_id", "place"])
+    words = settle(lines.select("k", "line"), w=line_words(F.col("line")))
     # where rows repeat a doc_id, the line must be the one that was hashed
-    coded = coded.where(F.xxhash64("w") == F.col("k")).select("k", encoded().alias("e"))
-    coded = _staged(coded.dropDuplicates(["k"]), "line-words")
-    left = coded.select(F.col("k").alias("a"), F.col("e").alias("ea"))
-    right = coded.select(F.col("k").alias("b"), F.col("e").alias("eb"))
-    return _staged(edges.join(left, "a").join(right, "b").where(similar("ea", "eb")).select("a", "b"), "line-links")
+    made = words.where(F.xxhash64("w") == F.col("k")).select("k", encoded().alias("e"), *word_sets())
+    once = made.groupBy("k").agg(F.first("e").alias("e"), F.first("n").alias("n"), F.first("sets").alias("sets"))
+    return own.write(once.select("k", "e", "n", *[F.col("sets")[j].alias(f"b{j}") for j in range(4)]), "line-words")
 
 
-def _staged(rows: DataFrame, label: str) -> DataFrame:
-    path = staging_path(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def linked(edges: DataFrame, coded: DataFrame, own: Staged) -> DataFrame:
+    """Those candidates ``(a, b)`` whose words are similar enough, written to the shared folder.
+
+    Lengths and word sets decide first: an edit changes the length by one and
+    exchanges two words at most. Only what passes meets the words.
+    """
+    sets = [f"b{j}" for j in range(4)]
+    side = lambda name: coded.select(F.col("k").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *sets)])
+    longer = F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sets), F.lit(0))
+    likely = (5 * F.least("a_n", "b_n") >= 4 * longer) & (differ <= 2 * F.floor(longer / 5))
+    some = edges.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b")
+    left = coded.select(F.col("k").alias("a"), F.col("e").alias("ea"))
+    right = coded.select(F.col("k").alias("b"), F.col("e").alias("eb"))
+    return own.write(some.join(left, "a").join(right, "b").where(similar("ea", "eb")).select("a", "b"), "line-links")
 
 
 def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,45 +206,45 @@ def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     mixed = labelled.join(spread, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = mixed.where("grp <> big").select("key", F.pmod("k", "nx").alias("x"), every("ny").alias("y"), "k", "n_words", "bits", "grp")
-    second = [F.col(c).alias(f"{c}2") for c in ("k", "n_words", "bits", "grp")]
+    left = mixed.where("grp <> big").select("key", F.pmod("k", "nx").alias("x"), every("ny").alias("y"), "k", "grp")
+    second = [F.col(c).alias(f"{c}2") for c in ("k", "grp")]
     return left, mixed.select("key", every("nx").alias("x"), F.pmod("k", "ny").alias("y"), *second)
 
 
-def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, keep: Staged) -> tuple[DataFrame, DataFrame]:
     """All eligible lines ``(doc_id, place, k)``, and ``(k, grp)`` of the texts with a similar other text."""
-    keys = rare_pairs(pair_levels(docs))
-    made = eligible_lines(docs).select("doc_id", "place", "k", F.size("w").alias("n_words"), word_bits().alias("bits"), keys.alias("keys"))
-    lines = _staged(made, "lines")
-    firsts = lines.groupBy("k").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    firsts = _staged(firsts.select("k", "at.doc_id", "at.place"), "line-firsts")
-    keyed = lines.select(F.explode("keys").alias("key"), "k", "n_words", "bits")
-    # minima combine on the map side; only keys of several texts go on, and a skewed join can be split
-    heads = keyed.groupBy("key").agg(
-        F.min("k").alias("fk"), F.max("k").alias("lk"), F.min_by("n_words", "k").alias("fn"), F.min_by("bits", "k").alias("fbits")
-    )
-    met = keyed.join(heads.where("fk <> lk").drop("lk"), "key").groupBy("key", "k").agg(
-        *[F.first(c).alias(c) for c in ("n_words", "bits", "fk", "fn", "fbits")]
-    )
-    to_first = F.when((F.col("k") != F.col("fk")) & near(("n_words", "fn"), ("bits", "fbits")), F.col("fk"))
-    shared = _staged(met.select("key", "k", "n_words", "bits", to_first.alias("fk")), "line-blocks")
-    star = shared.where("fk is not null").select(F.col("fk").alias("a"), F.col("k").alias("b"))
-    first_links = verify(star.distinct(), firsts, docs)
+    own = Staged(docs.sparkSession)
+    made = eligible_lines(docs).select("doc_id", "place", "k", lane_keys().alias("keys"))
+    lines = keep.write(made, "lines")
+    # copies of a text combine on the map side
+    firsts = own.write(lines.groupBy("k").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("k", "at.*"), "line-firsts")
+    keyed = lines.select(F.explode("keys").alias("key"), "k")
+    heads = keyed.groupBy("key").agg(F.min("k").alias("fk"))
+    # in a skewed block the join can be split; only texts that meet another one go on
+    star = own.write(keyed.join(heads, "key").where("k <> fk").distinct(), "line-blocks")
+    shared = star.select("key", "k").union(star.select("key", "fk")).distinct()
+    coded = coded_texts(shared.select("k").distinct(), firsts, docs, own)
+    first_links = linked(star.select(F.col("fk").alias("a"), F.col("k").alias("b")).distinct(), coded, own)
     grouped = components(first_links).select(F.col("id").alias("k"), "component")
-    labelled = shared.join(grouped, "k", "left").select("key", "k", "n_words", "bits", F.coalesce("component", "k").alias("grp"))
+    labelled = shared.join(grouped, "k", "left").select("key", "k", F.coalesce("component", "k").alias("grp"))
     left, right = sides(labelled)
     pairs = (
         left.join(right, ["key", "x", "y"])
-        .where((F.col("grp") != F.col("grp2")) & near(("n_words", "n_words2"), ("bits", "bits2")))
+        .where(F.col("grp") != F.col("grp2"))
         .select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
     )
-    links = first_links.union(verify(pairs.distinct(), firsts, docs))
-    return lines.select("doc_id", "place", "k"), components(links).select(F.col("id").alias("k"), F.col("component").alias("grp"))
+    # pairs that the first pass has compared are not compared again
+    known = star.select(F.least("k", "fk").alias("a"), F.greatest("k", "fk").alias("b"))
+    links = first_links.union(linked(pairs.distinct().join(known, ["a", "b"], "left_anti"), coded, own))
+    groups = keep.write(components(links).select(F.col("id").alias("k"), F.col("component").alias("grp")), "line-groups")
+    own.clear()
+    return lines.select("doc_id", "place", "k"), groups
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, places)``: the lines, counted from 0, that repeat an earlier one."""
-    lines, groups = line_groups(docs)
+    keep = Staged(docs.sparkSession)
+    lines, groups = line_groups(docs, keep)
     # the first line of a text, then of its group; both minima combine on the map side
     texts = lines.groupBy("k").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = texts.join(groups, "k", "left").withColumn("grp", F.coalesce("grp", "k"))
@@ -230,14 +252,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # only texts with a line to remove go on
     hit = named.join(kept.where("of > 1"), "grp").select("k", "keep")
     out = lines.join(hit, "k").where(F.struct("doc_id", "place") != F.col("keep"))
-    return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    gone = Staged(docs.sparkSession).write(
+        out.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")), "lines-removed"
+    )
+    keep.clear()
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` without the lines that repeat an earlier one.
 
     "Earlier" goes by doc_id, then by place in the text. Null texts stay null;
-    empty texts and lines of fewer than MIN_WORDS words stay as they are. Rows
+    empty texts stay as they are, and so do lines of fewer than MIN_WORDS words
+    and EXACT_CHARS characters. A very long line is compared whole. Rows
     of one doc_id count as one document: a place is removed in all of them.
     Rows without an id stay whole.
     """

@@ -1,6 +1,7 @@
 """Jaccard join, fingerprints, line dedup, components and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,10 +9,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parcelcheck.llm import components, fuzzy_lines, trie_join, weighted_sampling
+from parcelcheck.session import staging_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string"
@@ -188,20 +191,43 @@ def edits(a, b):
     return last[-1]
 
 
-def brute_dedup(rows, sims):
-    """Texts after dedup; ``sims`` maps normalised words to their SimHash."""
+def word_hash(word):
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def lanes_of(words):
+    """(class, lane, SimHash of the lane), by counting bits."""
+    n = len(words)
+    if n < fuzzy_lines.MIN_WORDS:
+        return set()
+    own = math.floor(math.log(n) / math.log(fuzzy_lines.CLASS_STEP))
+    out = set()
+    for c in [own, own + 1] if fuzzy_lines.CLASS_STEP ** (own + 1) * 0.9 <= n else [own]:
+        lanes = math.floor(fuzzy_lines.CLASS_STEP ** (c + 1) / fuzzy_lines.WORDS_A_LANE) + 2
+        dealt = defaultdict(list)
+        for h in {word_hash(w) for w in words}:
+            dealt[(h % 2**64 >> 48) % lanes].append(h % 2**48)
+        for lane, low in dealt.items():
+            low = sorted(low)[: fuzzy_lines.LANE_WORDS]
+            bits = tuple(2 * sum(x >> i & 1 for x in low) > len(low) for i in range(48) if i % 4 < fuzzy_lines._BITS)
+            out.add((c, lane, bits))
+    return out
+
+
+def brute_dedup(rows, every=False):
+    """Texts after dedup; links need a lane in common unless ``every`` near pair is to count."""
     at = defaultdict(list)
-    for doc_id, text in sorted(rows):
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
         for place, line in enumerate((text or "").split("\n")):
             words = norm_words(line)
-            if len(words) >= fuzzy_lines.MIN_WORDS:
+            if len(words) >= fuzzy_lines.MIN_WORDS or len(" ".join(words)) >= fuzzy_lines.EXACT_CHARS:
                 at[words].append((doc_id, place))
     keys = list(at)
-    links = [
-        (i, j) for i, j in combinations(range(len(keys)), 2)
-        if bin((sims[keys[i]] ^ sims[keys[j]]) & (2**64 - 1)).count("1") <= fuzzy_lines.MAX_BITS
-        and edits(keys[i], keys[j]) <= max(len(keys[i]), len(keys[j])) // 5
-    ]
+    lanes = [lanes_of(k) for k in keys]
+    links = near_pairs(keys)
+    if not every:
+        links = [(i, j) for i, j in links if lanes[i] & lanes[j]]
     home = groups(range(len(keys)), links)
     first = {}
     for i, words in enumerate(keys):
@@ -212,6 +238,21 @@ def brute_dedup(rows, sims):
     }
 
 
+def near_pairs(keys):
+    """All pairs of texts of which a fifth of the longer one's words or fewer have to be edited."""
+    bags = [Counter(k) for k in keys]
+    out = []
+    order = sorted((i for i in range(len(keys)) if len(keys[i]) >= fuzzy_lines.MIN_WORDS), key=lambda i: len(keys[i]))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            most = len(keys[j]) // 5
+            if len(keys[j]) - len(keys[i]) > most:
+                break
+            if sum((bags[j] - bags[i]).values()) <= most and edits(keys[i], keys[j]) <= most:
+                out.append((min(i, j), max(i, j)))
+    return out
+
+
 def fuzzy_rows():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -232,64 +273,61 @@ def fuzzy_rows():
 def test_lines_equal_brute_force(spark):
     rows = fuzzy_rows()
     frame = spark.createDataFrame(rows, DOCS).repartition(4)
-    lines = fuzzy_lines.eligible_lines(frame)
-    words = {r.k: tuple(r.w) for r in lines.select("k", "w").collect()}
-    sims = {words[r.k]: r.sim for r in fuzzy_lines.with_simhash(lines).collect()}
     got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(frame).collect()}
-    want = brute_dedup(rows, sims)
+    want = brute_dedup(rows)
     assert got == want
     assert sum(len(t or "") for t in want.values()) < 0.7 * sum(len(t or "") for _, t in rows)
 
 
-def test_near_lines_by_edit_similarity_alone(spark):
-    """Lines around the bound of a fifth, in a vocabulary that makes chance candidates; no SimHash bound."""
-    rng = random.Random(3)
-    word = lambda: rng.choice("abcdefghijklmnopqrst") * 3
+def test_lanes_are_simhashes_of_their_words(spark):
+    """Two lines share a key exactly where class, lane and majority of bits are the same."""
+    rng = random.Random(6)
     rows = []
-    for k in range(80):
-        base = [word() for _ in range(rng.choice([5, 6, 8, 9, 10, 14, 15, 20, 40]))]
-        for m in range(3):
+    for n in [1, 4, 5, 6, 7, 9, 12, 15, 24, 25, 60, 61, 140, 2000]:
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for edited in (0, 1, 2, n // 10):
             line = list(base)
-            for _ in range(rng.randint(0, len(base) // 5 + 1)):
-                at = rng.randrange(len(line))
-                line[at : at + rng.choice([0, 1, 1])] = [word()] * rng.choice([0, 1, 1])
-            rows.append((3 * k + m, " ".join(line)))
-    at = {norm_words(t): d for d, t in reversed(rows) if len(norm_words(t)) >= fuzzy_lines.MIN_WORDS}
-    links = [(at[a], at[b]) for a, b in combinations(at, 2) if edits(a, b) <= max(len(a), len(b)) // 5]
-    home = groups(at.values(), links)
-    first = {}
-    for d, text in rows:
-        if norm_words(text) in at:
-            first.setdefault(home[at[norm_words(text)]], d)
-    want = {d: norm_words(t) in at and first[home[at[norm_words(t)]]] != d for d, t in rows}
-    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
-    assert {r.doc_id: r.text == "" for r in got} == want and sum(want.values()) > 80
+            for at in rng.sample(range(n), min(edited, n)):
+                line[at] = f"v{rng.randrange(3000)}"
+            rows.append((len(rows), line))
+    frame = spark.createDataFrame(rows, "i int, w array<string>").select("i", fuzzy_lines.lane_keys().alias("keys"))
+    keys = {r.i: r["keys"] for r in frame.collect()}
+    lanes = {i: lanes_of(w) for i, w in rows}
+    assert all(len(keys[i]) == len(lanes[i]) for i in keys)
+    for i, j in combinations(keys, 2):
+        assert len(set(keys[i]) & set(keys[j])) == len(lanes[i] & lanes[j])
+
+
+def test_recall_on_the_lines_of_the_documents(small):
+    """At least nine of ten near pairs of the documents' own lines share a lane."""
+    lines = {norm_words(x) for r in small.collect() for x in (r.text or "").split("\n")}
+    keys = sorted(k for k in lines if len(k) >= fuzzy_lines.MIN_WORDS)
+    pairs = near_pairs(keys)
+    found = sum(bool(lanes_of(keys[i]) & lanes_of(keys[j])) for i, j in pairs)
+    assert len(pairs) > 20 and found >= 0.9 * len(pairs)
+
+
+def test_short_lines_count_as_equal_ones_only(spark):
+    rows = [(1, "Verylongheadingwithoutblanks.py\nyes\na b c d e f"), (2, "verylongheadingwithoutblankspy\nyes\na b c d e g"), (3, "a b c d e f g h i j"), (4, "a b c d e f g h i x")]
+    got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_dedup(rows) and got[2].startswith("yes")
 
 
 def test_large_blocks_are_cut_and_the_largest_group_never_meets_itself(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "BLOCK_ROWS", 50)
     rng = random.Random(4)
     ids = list({rng.randrange(-(2**62), 2**62) for _ in range(1200)})
-    rows = [(1, k, 9, 0, 7 if i < 600 else k) for i, k in enumerate(ids[:601])]  # a large group and an outsider
-    rows += [(2, k, 9, 0, k % 3) for k in ids[601:900]] + [(3, k, 9, 0, 5) for k in ids[900:]]
-    left, right = fuzzy_lines.sides(spark.createDataFrame(rows, "key long, k long, n_words int, bits long, grp long"))
+    rows = [(1, k, 7 if i < 600 else k) for i, k in enumerate(ids[:601])]  # a large group and an outsider
+    rows += [(2, k, k % 3) for k in ids[601:900]] + [(3, k, 5) for k in ids[900:]]
+    left, right = fuzzy_lines.sides(spark.createDataFrame(rows, "key long, k long, grp long"))
     met = left.join(right, ["key", "x", "y"])
     cells = met.groupBy("key", "x", "y").count().agg(F.max("count")).first()[0]
     assert met.where("key = 1").count() == 601 and met.where("key = 3").count() == 0 and cells < 10_000
     got = {(min(r.k, r.k2), max(r.k, r.k2)) for r in met.where("grp <> grp2").collect()}
-    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in combinations(rows, 2) if a[0] == b[0] and a[4] != b[4]}
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]}
     assert got == want
 
 
-def test_simhash_is_the_majority_of_bits(spark):
-    frame = spark.createDataFrame([(1, " ".join(f"w{k % 9} v{k}" for k in range(50)))], DOCS)
-    lines = fuzzy_lines.eligible_lines(frame)
-    pairs = F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> xxhash64(w[i - 1], w[i]))")).alias("h")
-    hashes = [r.h for r in lines.select(pairs).collect()]
-    want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
-    assert fuzzy_lines.with_simhash(lines).first().sim & (2**64 - 1) == want
-
-
 def test_lines_of_odd_rows(odd, nothing):
     left = fuzzy_lines.dedup_lines(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
@@ -301,29 +339,39 @@ def test_lines_of_odd_rows(odd, nothing):
     assert fuzzy_lines.fuzzy_lines(nothing).count() == 0 and fuzzy_lines.without_emptied(nothing).count() == 0
 
 
+def run_stages(spark, docs, sf):
+    """What every stage keeps; each runs once."""
+    kept = [docs]
+    for name, step in corpus_pipeline.STAGES:
+        path = staging_path(spark, "kept")
+        step(spark, kept[-1], sf).write.parquet(path)
+        kept.append(spark.read.parquet(path))
+    assert all(k.columns == docs.columns for k in kept[:-1])
+    return kept[1:]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     """Stages 2, 3 and 5 are redone by hand on what their predecessor kept; 1 and 4 by their operators' tables."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = [docs]
-    for _, step in corpus_pipeline.STAGES:
-        rows = step(spark, kept[-1], sf).collect()
-        kept.append(spark.createDataFrame(rows, step(spark, kept[-1].limit(0), sf).schema) if rows else kept[-1].limit(0))
-    assert all(k.columns == docs.columns for k in kept[:-1])
-    one, two, three, four, five = kept[1:]
-    before = [(r.doc_id, r.text) for r in one.collect()]
-    lines = fuzzy_lines.eligible_lines(one)
-    words = {r.k: tuple(r.w) for r in lines.select("k", "w").collect()}
-    sims = {words[r.k]: r.sim for r in fuzzy_lines.with_simhash(lines).collect()}
-    left = {d: t for d, t in brute_dedup(before, sims).items() if t.strip()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
+    one, two, three, four, five = run_stages(spark, docs, sf)
+    left = {d: t for d, t in brute_dedup([(r.doc_id, r.text) for r in one.collect()]).items() if t.strip()}
     assert {r.doc_id: r.text for r in two.collect()} == left
     found = jaccard_groups(list(left.items()))
-    assert sorted(r.doc_id for r in three.collect()) == sorted(d for d, (_, c) in found.items() if d == c)
-    sizes = Counter(r.source for r in three.collect())
-    assert set(r.source for r in four.collect()) <= set(sizes)
+    kept = three.collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, (_, c) in found.items() if d == c)
+    mixed = four.collect()
+    assert {r.source for r in mixed} <= {r.source for r in kept}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = sorted((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids)) for r in four.collect())
+    want = sorted((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids)) for r in mixed)
     assert sorted((r.doc_id, r.n_tokens) for r in five.collect()) == want
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, odd, nothing):
+    sf = "/root/testdata/sf0.001"
+    *_, five = run_stages(spark, odd, sf)
+    assert five.columns[:2] == ["doc_id", "n_tokens"]
+    assert run_stages(spark, nothing, sf)[-1].count() == 0
