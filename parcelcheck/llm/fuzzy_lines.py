@@ -16,11 +16,20 @@ groups meet in pairs. Candidates are verified by the edit similarity of their
 words: at most a fifth of the longer one's may have to be edited. Of a
 connected group's lines only the first, by doc_id and place, stays.
 
-Built-in functions only.
+Lanes come from one Arrow pass, whose arrays hold the words of a bounded number
+of characters; README has the figures of the form in built-in functions. All
+else is built-in functions.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +43,17 @@ from parcelcheck.session import remove_staged, staging_path
 MIN_WORDS, EXACT_CHARS = 5, 20
 #: A length class reaches from a length to half as much more; words of a lane, about; words that its SimHash takes at most.
 CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 16, 7
+#: Characters whose words a task holds in arrays at once, about.
+CHUNK_CHARS = 2_000_000
 #: Rows of one side that meet in a cell of a large block.
 BLOCK_ROWS = 1000
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TO = "abcdefghijklmnopqrstuvwxyz000000000    "
 _FILTER_BITS = 1 << 20
-#: Hash bits of a word that stand below its lane, and a counter of four bits for every fourth of them.
+#: Hash bits of a word that stand below its lane, a counter of three bits for every third of them, and shifts that are counted.
 _HASH = (1 << 48) - 1
-_EACH = 0x111111111111
-_BITS = 3
+_EACH = sum(1 << j for j in range(0, 48, 3))
+_SHIFTS = 2
 
 
 def line_words(line: Column) -> Column:
@@ -50,39 +61,100 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, _FROM, _TO), " "), "")
 
 
-def eligible_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, k, w)`` of the lines that count; k is a 64-bit hash of the words."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of("text"), "\n")).alias("place", "line")
-    )
-    counts = (F.size("w") >= MIN_WORDS) | (F.length(F.array_join("w", " ")) >= EXACT_CHARS)
-    made = settle(rows, w=line_words(F.col("line"))).where(counts)
-    return made.select("doc_id", "place", F.xxhash64("w").alias("k"), "w")
+_TABLE = bytes.maketrans(_FROM[: len(_TO)].encode(), _TO.encode())
+_DROPPED = _FROM[len(_TO) :].encode()
+
+
+def text_key(words: Column) -> Column:
+    """The 64-bit hash that stands for a normalised line."""
+    return F.xxhash64(F.array_join(words, " "))
 
 
-def lane_keys(words: str = "w") -> Column:
-    """One key for each lane with a word: a hash of class, lane and the lane's SimHash.
+def lane_keys(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lines, one after the other, and how many each line has.
 
-    The words' hashes, sorted by lane, are cut where the lane changes. Counters
-    of four bits hold up to LANE_WORDS words of a lane.
+    ``lengths`` are the words of each line, ``hashes`` those of all words. A
+    key hashes class, lane and the lane's SimHash. Counters of three bits hold
+    up to LANE_WORDS words; with 3 less half of the words added, the highest
+    bit of each tells the majority.
     """
-    upper = f"pow({CLASS_STEP}D, c + 1)"
-    lanes = f"(cast(floor({upper} / {WORDS_A_LANE}) as bigint) + 2)"
-    dealt = f"sort_array(transform(d, h -> shiftleft(pmod(shiftrightunsigned(h, 48), lanes), 48) | (h & {_HASH}L)))"
-    starts = "filter(sequence(0, size(v) - 1), i -> i = 0 or shiftright(v[i], 48) <> shiftright(v[i - 1], 48))"
-    counted = ", ".join(
-        f"2 * aggregate(g, 0L, (a, h) -> a + (shiftright(h, {j}) & {_EACH}L)) + ({LANE_WORDS} - size(g)) * {_EACH}L & {8 * _EACH}L"
-        for j in range(_BITS)
-    )
-    lane = "slice(v, s[k] + 1, least(if(k + 1 < size(s), s[k + 1], size(v)) - s[k], " + f"{LANE_WORDS}))"
-    key = let("g", lane, f"xxhash64(c, shiftright(g[0], 48), {counted})")
-    keys = let("lanes", lanes, let("v", dealt, let("s", starts, f"transform(sequence(0, size(s) - 1), k -> {key})")))
-    own = f"cast(floor(ln(size({words})) / ln({CLASS_STEP}D)) as int)"
-    near_next = f"pow({CLASS_STEP}D, own + 1) * 0.9D <= size({words})"
-    classes = let("own", own, f"if({near_next}, array(own, own + 1), array(own))")
-    distinct = f"array_distinct(transform({words}, x -> xxhash64(x)))"
-    made = let("d", distinct, f"flatten(transform({classes}, c -> {keys}))")
-    return F.expr(f"if(size({words}) >= {MIN_WORDS}, {made}, cast(array() as array<bigint>))")
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    own = np.floor(np.log(np.maximum(lengths, 1)) / math.log(CLASS_STEP)).astype(np.int64)
+    both = CLASS_STEP ** (own + 1) * 0.9 <= lengths
+    times = np.where(lengths >= MIN_WORDS, 1 + both, 0)
+    # a row for each line and class it has lanes of
+    owner = np.repeat(np.arange(len(lengths)), times)
+    second = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+    grade = own[owner] + second
+    lanes = np.floor(CLASS_STEP ** (grade + 1) / WORDS_A_LANE).astype(np.uint64) + np.uint64(2)
+    sizes = lengths[owner]
+    at = np.arange(int(sizes.sum())) + np.repeat((np.cumsum(lengths) - lengths)[owner] - (np.cumsum(sizes) - sizes), sizes)
+    h = hashes[at]
+    row = np.repeat(np.arange(len(owner)), sizes)
+    lane = ((h >> np.uint64(48)) % lanes[row]).astype(np.int64)
+    widest = int(lanes.max()) if len(lanes) else 1
+    group = row * widest + lane
+    low = (h & np.uint64(_HASH)).astype(np.int64)
+    order = np.lexsort((low, group))
+    group, low = group[order], low[order]
+    fresh = np.ones(len(group), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (low[1:] != low[:-1])
+    group, low = group[fresh], low[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate((starts, [len(group)])))
+    held = np.arange(len(group)) - np.repeat(starts, counts) < LANE_WORDS
+    low, counts = low[held], np.minimum(counts, LANE_WORDS)
+    named = group[starts]
+    key = _mixed((grade[named // widest] << 32) + named % widest)
+    begins = np.cumsum(counts) - counts
+    for j in range(_SHIFTS):
+        sums = np.add.reduceat((low >> j) & _EACH, begins) if len(begins) else np.zeros(0, np.int64)
+        key = _mixed(key ^ ((sums + (3 - counts // 2) * _EACH) & (4 * _EACH)))
+    return key, np.bincount(owner[named // widest], minlength=len(lengths))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (y ^ (y >> np.uint64(31))).view(np.int64)
+
+
+def eligible_lines(docs: DataFrame) -> DataFrame:
+    """``(doc_id, place, k, keys)`` of the lines that count: the hash of their words and their lanes' keys."""
+
+    def of_texts(ids: list, texts: list) -> pa.RecordBatch:
+        doc, place, keys, lengths, words = [], [], [], [], []
+        for i, text in zip(ids, texts):
+            for n, line in enumerate(text.encode().translate(_TABLE, _DROPPED).split(b"\n")):
+                own = line.split()
+                joined = b" ".join(own)
+                if len(own) < MIN_WORDS and len(joined.decode()) < EXACT_CHARS:
+                    continue
+                doc.append(i)
+                place.append(n)
+                keys.append(xxhash.xxh64_intdigest(joined, seed=42))
+                lengths.append(len(own))
+                words += own
+        values = np.empty(len(words), dtype=object)
+        values[:] = words
+        lanes, many = lane_keys(np.array(lengths, np.int64), pd.util.hash_array(values, categorize=False))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(lanes, pa.int64()))
+        k = pa.array(np.array(keys, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), k, lists], names=["doc_id", "place", "k", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ends = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
+            for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                yield of_texts([ids[n] for n in cut], [texts[n] for n in cut])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body")).where(F.length("body") > 0)
+    return rows.mapInArrow(run, "doc_id long, place int, k long, keys array<long>")
 
 
 def encoded(words: str = "w") -> Column:
@@ -166,7 +238,7 @@ def coded_texts(texts: DataFrame, firsts: DataFrame, docs: DataFrame, own: Stage
     lines = parts.where(_bit_test(in_lines, "doc_id", "place")).join(wanted, ["doc_id", "place"])
     words = settle(lines.select("k", "line"), w=line_words(F.col("line")))
     # where rows repeat a doc_id, the line must be the one that was hashed
-    made = words.where(F.xxhash64("w") == F.col("k")).select("k", encoded().alias("e"), *word_sets())
+    made = words.where(text_key(F.col("w")) == F.col("k")).select("k", encoded().alias("e"), *word_sets())
     once = made.groupBy("k").agg(F.first("e").alias("e"), F.first("n").alias("n"), F.first("sets").alias("sets"))
     return own.write(once.select("k", "e", "n", *[F.col("sets")[j].alias(f"b{j}") for j in range(4)]), "line-words")
 
@@ -214,8 +286,7 @@ def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def line_groups(docs: DataFrame, keep: Staged) -> tuple[DataFrame, DataFrame]:
     """All eligible lines ``(doc_id, place, k)``, and ``(k, grp)`` of the texts with a similar other text."""
     own = Staged(docs.sparkSession)
-    made = eligible_lines(docs).select("doc_id", "place", "k", lane_keys().alias("keys"))
-    lines = keep.write(made, "lines")
+    lines = keep.write(eligible_lines(docs), "lines")
     # copies of a text combine on the map side
     firsts = own.write(lines.groupBy("k").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("k", "at.*"), "line-firsts")
     keyed = lines.select(F.explode("keys").alias("key"), "k")

@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -192,8 +192,7 @@ def edits(a, b):
 
 
 def word_hash(word):
-    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
-    return h - 2**64 if h >= 2**63 else h
+    return int(pd.util.hash_array(np.array([word.encode()], dtype=object), categorize=False)[0])
 
 
 def lanes_of(words):
@@ -210,7 +209,7 @@ def lanes_of(words):
             dealt[(h % 2**64 >> 48) % lanes].append(h % 2**48)
         for lane, low in dealt.items():
             low = sorted(low)[: fuzzy_lines.LANE_WORDS]
-            bits = tuple(2 * sum(x >> i & 1 for x in low) > len(low) for i in range(48) if i % 4 < fuzzy_lines._BITS)
+            bits = tuple(2 * sum(x >> i & 1 for x in low) > len(low) for i in range(48) if i % 3 < fuzzy_lines._SHIFTS)
             out.add((c, lane, bits))
     return out
 
@@ -279,7 +278,7 @@ def test_lines_equal_brute_force(spark):
     assert sum(len(t or "") for t in want.values()) < 0.7 * sum(len(t or "") for _, t in rows)
 
 
-def test_lanes_are_simhashes_of_their_words(spark):
+def test_lanes_are_simhashes_of_their_words():
     """Two lines share a key exactly where class, lane and majority of bits are the same."""
     rng = random.Random(6)
     rows = []
@@ -290,12 +289,13 @@ def test_lanes_are_simhashes_of_their_words(spark):
             for at in rng.sample(range(n), min(edited, n)):
                 line[at] = f"v{rng.randrange(3000)}"
             rows.append((len(rows), line))
-    frame = spark.createDataFrame(rows, "i int, w array<string>").select("i", fuzzy_lines.lane_keys().alias("keys"))
-    keys = {r.i: r["keys"] for r in frame.collect()}
+    hashes = np.array([word_hash(w) for _, line in rows for w in line], np.uint64)
+    found, many = fuzzy_lines.lane_keys(np.array([len(line) for _, line in rows]), hashes)
+    keys = dict(enumerate(np.split(found, np.cumsum(many)[:-1])))
     lanes = {i: lanes_of(w) for i, w in rows}
     assert all(len(keys[i]) == len(lanes[i]) for i in keys)
     for i, j in combinations(keys, 2):
-        assert len(set(keys[i]) & set(keys[j])) == len(lanes[i] & lanes[j])
+        assert len(set(keys[i].tolist()) & set(keys[j].tolist())) == len(lanes[i] & lanes[j])
 
 
 def test_recall_on_the_lines_of_the_documents(small):
