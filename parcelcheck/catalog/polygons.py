@@ -443,13 +443,15 @@ G18_SQL = Q.ctes(
     *Q.measured(),
     "elig AS (SELECT k FROM m WHERE NOT empty AND mrr < 1.1)",
     *Q.overlaps(0.1, -5),
-) + f"SELECT k, {Q.scaled('abs(area)', 100)} AS eroded_cm FROM sa"
+) + f"SELECT s.k, {Q.scaled('abs(sa.area)', 100)} AS eroded_cm FROM src s LEFT JOIN sa ON s.k = sa.k"
 
 
 @query("g18_erode", G18_SQL)
 def g18(spark, sf):
     rows = stage(measured(spark, sf).select("k", "geom", "mrr_ratio"), "measured")
-    plane = V.table_plane(rows, "geom", "plane").where(F.col("mrr_ratio") < 1.1)
+    # every shape has a row; only those that the overlap check takes are eroded
+    compact = F.when(F.col("mrr_ratio") < 1.1, F.col("plane"))
+    plane = V.table_plane(rows, "geom", "plane").withColumn("plane", compact)
     shrunk = O.add_buffer(plane, "plane", "eroded", -5.0)
     return shrunk.select("k", scaled(R.area(F.col("eroded")), 100).alias("eroded_cm"))
 

@@ -28,7 +28,9 @@ SUBPLOTS = """SELECT 'P' || cast(l_orderkey AS string) AS PARENT_KEY,
 LINE_KEY = """cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) || '-' ||
     cast(l_partkey AS string) || '-' || cast(l_suppkey AS string)"""
 
-VEGETATION = f"""SELECT 'S' || cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) AS PARENT_KEY,
+# Gaps between the levels are rows whose parent is unknown: null, or a key that no parent has.
+VEGETATION = f"""SELECT CASE WHEN l_partkey % 8 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN 'lost ' || {LINE_KEY}
+      ELSE 'S' || cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) END AS PARENT_KEY,
     'V' || {LINE_KEY} AS KEY,
     CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 4 = 0 THEN 0 ELSE cast(l_quantity AS bigint) END AS vegetation_type_number,
     CASE WHEN l_suppkey % 4 = 0 THEN cast(l_quantity AS bigint) END AS coverage_vegetation,
@@ -42,7 +44,8 @@ VEGETATION = f"""SELECT 'S' || cast(l_orderkey AS string) || '-' || cast(l_linen
     CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_suppkey % 5 = 1 THEN 'Other' ELSE 'named ' || cast(l_partkey % 30 AS string) END AS other_species,
     'lang ' || cast(l_suppkey % 3 AS string) AS language_other_species,
     CASE WHEN l_suppkey % 2 = 0 THEN 'crop ' || cast(l_partkey % 6 AS string) END AS crop_comments
-  FROM lineitem WHERE l_partkey % 4 <> 0"""
+  FROM lineitem"""
+
 
 def counted(source: str, name: str, n: str, div: str) -> str:
     """Rows of ``source`` n times, numbered from 1, in either dialect."""
@@ -53,15 +56,15 @@ def counted(source: str, name: str, n: str, div: str) -> str:
 
 # Whole halves of metres and centimetres keep every median exact.
 def measurement_sql(div: str) -> str:
-    return f"""SELECT 'V' || {LINE_KEY} AS PARENT_KEY, 'M' || {LINE_KEY} || '-' || cast(j AS string) AS KEY,
+    return f"""SELECT CASE WHEN l_suppkey % 14 = 0 THEN NULL WHEN l_suppkey % 7 = 0 THEN 'lost ' || {LINE_KEY}
+      ELSE 'V' || {LINE_KEY} END AS PARENT_KEY, 'M' || {LINE_KEY} || '-' || cast(j AS string) AS KEY,
     CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE (1 + (l_partkey + 7 * j) % 16) * CASE WHEN j = 5 THEN 5e0 ELSE 0.5e0 END END AS tree_height_m,
     cast(1990 + l_partkey % 30 AS int) AS tree_year_planted,
     CASE WHEN l_suppkey % 2 = 0 THEN 'yes' ELSE 'no' END AS tree_prune, (l_partkey % 5) * 0.5e0 AS prune_height,
     CASE WHEN l_suppkey % 3 = 0 THEN 'yes' ELSE 'no' END AS tree_coppiced,
     CASE WHEN l_suppkey % 3 = 0 THEN (1 + (l_partkey + 3 * j) % 12) * CASE WHEN j = 4 THEN 4e0 ELSE 0.5e0 END END AS coppiced_height,
     cast((l_partkey + j) % 30 AS bigint) AS nr_stems_bh, cast((l_partkey + 2 * j) % 30 AS bigint) AS nr_stems_10cm
-  FROM {counted("lineitem", "j", "(2 + l_suppkey % 4)", div)}
-  WHERE l_partkey % 4 <> 0 AND l_suppkey % 7 <> 0"""
+  FROM {counted("lineitem", "j", "(2 + l_suppkey % 4)", div)}"""
 
 
 def circumference_sql(div: str) -> str:
@@ -69,8 +72,7 @@ def circumference_sql(div: str) -> str:
     'C' || {LINE_KEY} || '-' || cast(j AS string) || '-' || cast(c AS string) AS KEY,
     (1 + (l_partkey + 5 * c) % 40) * CASE WHEN c = 3 THEN 6e0 ELSE 1e0 END AS circumference_bh,
     (1 + (l_partkey + 5 * c) % 50) * 2e0 AS circumference_10cm
-  FROM {counted(counted("lineitem", "j", "2", div), "c", "(1 + l_suppkey % 3)", div)}
-  WHERE l_partkey % 4 <> 0 AND l_suppkey % 7 <> 0"""
+  FROM {counted(counted("lineitem", "j", "2", div), "c", "(1 + l_suppkey % 3)", div)}"""
 
 
 LEVELS_SQL = f"""WITH plots AS MATERIALIZED ({PLOTS}), subplots AS MATERIALIZED ({SUBPLOTS}), vegetation AS MATERIALIZED ({VEGETATION}),
@@ -132,15 +134,20 @@ def j5(spark, sf):
     return count(lv.vegetation, "veg").unionByName(count(lv.measurement, "mea")).unionByName(count(lv.circumference, "cir"))
 
 
+# Every fifth plot and a third of the subplots have no partner.
+LOOSE_PLOT = "CASE WHEN cast(substr(KEY, 2) AS bigint) % 5 = 0 THEN 'lost ' || KEY ELSE KEY END"
+LOOSE_PARENT = "CASE WHEN length(KEY) % 3 = 0 THEN NULL ELSE PARENT_KEY END"
+
+
 @query(
     "j6_full_outer",
     f"""WITH p AS ({PLOTS}), s AS ({SUBPLOTS}),
-q AS (SELECT * FROM p WHERE substr(KEY, 2)::BIGINT % 5 <> 0), t AS (SELECT * FROM s WHERE length(KEY) % 3 <> 0)
+q AS (SELECT {LOOSE_PLOT} AS KEY, enumerator, dbh_method FROM p), t AS (SELECT KEY, {LOOSE_PARENT} AS PARENT_KEY, gt_subplot FROM s)
 SELECT q.enumerator, q.dbh_method, t.KEY AS subplot_id, t.gt_subplot FROM q FULL OUTER JOIN t ON q.KEY = t.PARENT_KEY""",
 )
 def j6(spark, sf):
-    plots = raw_level(spark, sf, "plots").where(F.substring("KEY", 2, 20).cast("long") % 5 != 0)
-    subplots = raw_level(spark, sf, "subplots").where(F.length("KEY") % 3 != 0)
+    plots = raw_level(spark, sf, "plots").withColumn("KEY", F.expr(LOOSE_PLOT))
+    subplots = raw_level(spark, sf, "subplots").withColumn("PARENT_KEY", F.expr(LOOSE_PARENT))
     out = layers.join_plots_subplots(plots, subplots.withColumnRenamed("KEY", "subplot_id"))
     return out.select("enumerator", "dbh_method", "subplot_id", "gt_subplot")
 

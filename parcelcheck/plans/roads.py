@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelcheck.functions import project as P
 from parcelcheck.operators.measure import with_centroid
-from parcelcheck.session import cut_lineage
+from parcelcheck.session import remove_staged, staging_path
 
 REACH_M = 10_000.0
+#: Nodes of a leaf of the node tree, and its depth; a leaf of the last level holds one place.
+LEAF_NODES, DEPTH = 64, 24
+#: Links of a block of the road graph, about.
+BLOCK_LINKS = 100_000
+#: Cells of so many levels are few enough to broadcast: 4 to this power.
+_FEW_LEVELS = 7
 
 
 def crow_distance(plots: DataFrame, lon: float, lat: float) -> DataFrame:
@@ -56,192 +66,262 @@ def network_near(
     return kept, inside
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
-    """Nearest road node of every point (``point_id, lon, lat``), ties by node id.
+def _staged(rows: DataFrame, label: str) -> tuple[str, DataFrame]:
+    path = staging_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return path, rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    Points without a place on the globe have no row, and none has one if there
-    are no nodes; every other point gets its node however far it is.
 
-    Each round looks at the cells within ``ring`` steps and doubles the ring
-    for the points still open. A hit counts only when it is closer than the
-    ring is wide, so no nearer node can lie outside it. Distances are planar,
-    with longitudes shrunk at the latitude of the point.
+def _cell(level: Column) -> Column:
+    """Number of the cell of a place at a level; a cell's parent is its number shifted right by two.
+
+    Longitude and latitude are cut into 2^level columns and rows of the globe,
+    and their bits are interleaved behind a leading one.
     """
-    placed = nodes.select(
-        F.col("node_id"),
-        F.col("lon").alias("nlon"),
-        F.col("lat").alias("nlat"),
-        F.floor(F.col("lon") / cell).alias("cx"),
-        F.floor(F.col("lat") / cell).alias("cy"),
-    )
-    nodes_known = placed.where(F.col("nlon").isNotNull() & F.col("nlat").isNotNull())
-    open_points = points.select("point_id", "lon", "lat").where(
-        (F.abs("lat") <= 90) & (F.abs("lon") <= 360)
-    )
-    found, ring = None, 1
-    if nodes_known.isEmpty():
-        return nodes.sparkSession.createDataFrame(
-            [], T.StructType([points.schema["point_id"], nodes.schema["node_id"]])
-        )
-    while True:
-        # The ring is walked on ever coarser cells, so a point always meets
-        # nine of them; the nodes are only re-keyed.
-        size = cell * ring
-        keyed = nodes_known.withColumn("cx", F.floor(F.col("nlon") / size)).withColumn(
-            "cy", F.floor(F.col("nlat") / size)
-        )
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        asked = (
-            open_points.withColumn("dx", F.explode(around))
-            .withColumn("dy", F.explode(around))
-            .withColumn("cx", F.floor(F.col("lon") / size) + F.col("dx"))
-            .withColumn("cy", F.floor(F.col("lat") / size) + F.col("dy"))
-        )
-        shrink = F.cos(F.radians("lat"))
-        best = (
-            asked.join(keyed, ["cx", "cy"])
-            .withColumn(
-                "d",
-                F.sqrt(
-                    F.pow((F.col("nlon") - F.col("lon")) * shrink, F.lit(2))
-                    + F.pow(F.col("nlat") - F.col("lat"), F.lit(2))
-                ),
-            )
-            .groupBy("point_id", "lon", "lat")
-            .agg(F.min(F.struct("d", "node_id")).alias("hit"))
-            .where(F.col("hit.d") <= size * shrink)
-            .select("point_id", F.col("hit.node_id").alias("node_id"))
-        )
-        best = cut_lineage(best)
-        found = best if found is None else found.unionByName(best)
-        open_points = cut_lineage(open_points.join(best, "point_id", "left_anti"))
-        if open_points.isEmpty():
-            return found
-        ring *= 4
 
+    def spread(v: Column) -> Column:
+        for shift, mask in ((16, 0xFFFF0000FFFF), (8, 0xFF00FF00FF00FF), (4, 0xF0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
 
-HUB_LINKS = 100_000
+    steps = float(1 << DEPTH)
+    last = F.lit((1 << DEPTH) - 1)
+    column = F.least(F.floor((F.col("nlon") + 360) / 720 * steps), last)
+    row = F.least(F.floor((F.col("nlat") + 90) / 180 * steps), last)
+    deepest = spread(column).bitwiseOR(F.shiftleft(spread(row), 1)).bitwiseOR(F.lit(1 << 2 * DEPTH))
+    return F.call_function("shiftright", deepest, (2 * (F.lit(DEPTH) - level)).cast("int"))
 
 
-def _prepare_links(edges: DataFrame, hub_links: int) -> DataFrame:
-    """Shortest link per pair of nodes, with the links of hubs cut into parts.
+def node_tree(nodes: DataFrame, leaf: int = LEAF_NODES) -> DataFrame:
+    """``(cell, parent, level, n, box)`` of all cells of a quadtree but the root.
 
-    ``part`` says which share of its source a link is in, ``dst_parts`` into
-    how many the links of its target are cut.
+    Counts of all levels come from one grouping that combines on the map side.
+    A cell of more than ``leaf`` nodes is split unless it is on the last level.
     """
-    shortest = edges.groupBy("src", "dst").agg(F.min("length_m").alias("length_m"))
-    hubs = (
-        shortest.groupBy("src")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hub_links)
-        .select("src", F.ceil(F.col("_n") / hub_links).cast("int").alias("parts"))
-    )
-    return (
-        shortest.join(hubs, "src", "left")
-        .withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int"))
-        .drop("parts")
-        .join(hubs.select(F.col("src").alias("dst"), F.col("parts").alias("dst_parts")), "dst", "left")
-        .select("src", "part", "dst", "length_m", F.coalesce("dst_parts", F.lit(1)).alias("dst_parts"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")
+    placed = nodes.select("nlon", "nlat", level).withColumn("cell", _cell(F.col("level")))
+    cells = placed.groupBy("cell", "level").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("nlon").alias("w"),
+        F.min("nlat").alias("s"),
+        F.max("nlon").alias("e"),
+        F.max("nlat").alias("t"),
     )
+    split = cells.where(F.col("n") > leaf).select(F.col("cell").alias("parent"))
+    inner = cells.where("level > 0").withColumn("parent", F.shiftright("cell", 2)).join(split, "parent", "left_semi")
+    # a tree of few nodes has its first level as leaves
+    first = cells.where("level = 1").withColumn("parent", F.shiftright("cell", 2))
+    tree = inner.where("level > 1").unionByName(first)
+    return tree.withColumn("leaf", (F.col("n") <= leaf) | (F.col("level") == DEPTH))
+
 
+def _box_distance(far: bool) -> Column:
+    """Least (or greatest) planar distance from a point to the box around a cell's nodes."""
+    if far:
+        dx = F.greatest(F.abs(F.col("w") - F.col("lon")), F.abs(F.col("e") - F.col("lon")))
+        dy = F.greatest(F.abs(F.col("s") - F.col("lat")), F.abs(F.col("t") - F.col("lat")))
+    else:
+        dx = F.greatest(F.col("w") - F.col("lon"), F.col("lon") - F.col("e"), F.lit(0.0))
+        dy = F.greatest(F.col("s") - F.col("lat"), F.col("lat") - F.col("t"), F.lit(0.0))
+    dx = dx * F.cos(F.radians("lat"))
+    return F.sqrt(dx * dx + dy * dy)
 
-def _relax(reached: DataFrame, links: DataFrame) -> DataFrame:
-    """One round: every active node offers its length to the nodes it links to.
 
-    A row yields itself and its offer, so the table is read once per round
-    and rounds can be chained without doubling the plan.
+def nearest_nodes(points: DataFrame, nodes: DataFrame, leaf: int = LEAF_NODES) -> DataFrame:
+    """Nearest road node of every point (``point_id, lon, lat``), ties by node id.
+
+    Points without a place on the globe have no row, and none has one if there
+    are no nodes; every other point gets its node however far it is. Distances
+    are planar, with longitudes shrunk at the latitude of the point.
+
+    Points go down a quadtree of the nodes level by level. The nearest node is
+    no farther than the far corner of the box of any cell left, so only cells
+    whose box begins within the least such distance are split further. At the
+    leaves a point meets the at most ``leaf`` nodes of each cell left.
     """
-    copies = F.when(F.col("active"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-        F.array(F.lit(0))
+    spark = nodes.sparkSession
+    known = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat")).where(
+        (F.abs("lat") <= 90) & (F.abs("lon") <= 360)
     )
-    asked = reached.withColumn("_part", F.explode(copies))
-    offered = asked.join(
-        links.withColumnRenamed("length_m", "step"),
-        F.col("active") & (F.col("node_id") == F.col("src")) & (F.col("_part") == F.col("part")),
-        "left",
+    asked = points.select("point_id", "lon", "lat").where((F.abs("lat") <= 90) & (F.abs("lon") <= 360))
+    tree_path, tree = _staged(node_tree(known, leaf), "node-tree")
+    deepest = tree.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return spark.createDataFrame([], T.StructType([points.schema["point_id"], nodes.schema["node_id"]]))
+    place = ["point_id", "lon", "lat"]
+    root = F.lit(1).cast("long").alias("cell")
+    front = asked.select(*place, root, F.lit(False).alias("leaf"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"))
+    for level in range(1, deepest + 1):
+        below = tree.where(F.col("level") == level).select("parent", F.col("cell").alias("below"), F.col("leaf").alias("last"), "w", "s", "e", "t")
+        if level <= _FEW_LEVELS:
+            below = F.broadcast(below)  # 4 ** level cells at most
+        met = front.join(below, (F.col("cell") == F.col("parent")) & ~F.col("leaf"), "left")
+        is_new = F.col("below").isNotNull()
+        front = met.select(
+            *place,
+            F.coalesce("below", "cell").alias("cell"),
+            F.coalesce("last", "leaf").alias("leaf"),
+            F.when(is_new, _box_distance(False)).otherwise(F.col("low")).alias("low"),
+            F.when(is_new, _box_distance(True)).otherwise(F.col("high")).alias("high"),
+        )
+        # a margin, because corners and nodes are computed apart
+        reach = F.min("high").over(Window.partitionBy(*place)) * (1 + 1e-9) + 1e-12
+        front = front.withColumn("_reach", reach).where("low <= _reach").drop("_reach")
+    homes = (
+        known.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(deepest))))
+        .withColumn("cell", _cell(F.col("level")))
+        .join(tree.where("leaf").select("cell"), "cell")
+        .select("cell", "node_id", "nlon", "nlat")
     )
-    own = F.struct("node_id", "length_m", "parts", F.lit(True).alias("own"))
-    offer = F.struct(
-        F.col("dst").alias("node_id"),
-        (F.col("length_m") + F.col("step")).alias("length_m"),
-        F.col("dst_parts").alias("parts"),
-        F.lit(False).alias("own"),
+    shrink = F.cos(F.radians("lat"))
+    d = F.sqrt(F.pow((F.col("nlon") - F.col("lon")) * shrink, F.lit(2)) + F.pow(F.col("nlat") - F.col("lat"), F.lit(2)))
+    best = (
+        front.select(*place, "cell")
+        .join(homes, "cell")
+        .groupBy(*place)
+        .agg(F.min(F.struct(d.alias("d"), "node_id")).alias("hit"))
+        .select("point_id", F.col("hit.node_id").alias("node_id"))
     )
-    rows = offered.select(F.explode(F.array(own, offer)).alias("r")).select("r.*")
-    return (
-        rows.where(F.col("node_id").isNotNull())
-        .groupBy("node_id")
-        .agg(
-            F.min("length_m").alias("length_m"),
-            F.max("parts").alias("parts"),
-            F.min(F.when(F.col("own"), F.col("length_m"))).alias("_before"),
-        )
-        .withColumn(
-            "active", F.col("_before").isNull() | (F.col("length_m") < F.col("_before"))
-        )
-        .drop("_before")
+    _, found = _staged(best, "nearest-nodes")
+    remove_staged(spark, tree_path)
+    return found
+
+
+def link_blocks(edges: DataFrame, places: DataFrame | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """Shortest link of every pair of nodes, with the block that holds it.
+
+    Blocks are ranges of about ``block_links`` links along the cells of their
+    source (``places``: node_id, lon, lat), so that neighbours mostly share
+    one; without places, along the ids. The links of a hub go to several blocks.
+    """
+    shortest = (
+        edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("length_m").isNotNull())
+        .groupBy("src", "dst")
+        .agg(F.min("length_m").alias("length_m"))
     )
+    if places is not None:
+        at = places.select(F.col("node_id").alias("src"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"))
+        at = at.select("src", _cell(F.lit(DEPTH)).alias("place")).dropDuplicates(["src"])
+        shortest = shortest.join(at, "src", "left")
+    else:
+        shortest = shortest.withColumn("place", F.lit(0))
+    parts = max(1, -(-shortest.count() // block_links))
+    dealt = shortest.repartitionByRange(parts, "place", "src", "dst")
+    return dealt.select("src", "dst", "length_m", F.spark_partition_id().alias("block"))
+
+
+def _walk_block(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Shortest paths inside one block from its fresh nodes on.
+
+    ``state`` holds the known lengths of the block's nodes; returned are the
+    nodes, here or in other blocks, that got shorter.
+    """
+    block = int(state["block"].iloc[0])
+    links = links.sort_values("src", kind="stable")
+    sources = links["src"].to_numpy()
+    firsts = np.flatnonzero(np.concatenate(([True], sources[1:] != sources[:-1]))) if len(sources) else []
+    ends = [*list(firsts[1:]), len(sources)]
+    span = {sources[a]: (a, b) for a, b in zip(firsts, ends)}
+    to, step = links["dst"].tolist(), links["length_m"].tolist()
+    length = dict(zip(state["node_id"].tolist(), state["length_m"].tolist()))
+    heap = [(length[n], n) for n, fresh in zip(state["node_id"].tolist(), state["fresh"].tolist()) if fresh]
+    heapq.heapify(heap)
+    shorter = {}
+    while heap:
+        so_far, node = heapq.heappop(heap)
+        if so_far > length[node]:
+            continue
+        a, b = span.get(node, (0, 0))
+        for k in range(a, b):
+            new = so_far + step[k]
+            old = length.get(to[k])
+            if old is None or new < old:
+                length[to[k]] = shorter[to[k]] = new
+                heapq.heappush(heap, (new, to[k]))
+    return pd.DataFrame({"node_id": list(shorter), "length_m": list(shorter.values()), "block": block})
 
 
 def shortest_paths(
-    edges: DataFrame,
-    source: DataFrame,
-    hops: int = 4,
-    hub_links: int = HUB_LINKS,
+    edges: DataFrame, source: DataFrame, places: DataFrame | None = None, block_links: int = BLOCK_LINKS
 ) -> DataFrame:
     """Length of the shortest directed path from the source node to every node reached.
 
-    ``source`` holds one ``node_id``. Only nodes that improved in the last
-    round make offers; it stops when none did. ``hops`` rounds share a plan,
-    then the lineage is cut by a checkpoint.
+    ``source`` holds one ``node_id``; lengths must not be negative. The graph
+    lies in blocks in the shared folder. A round takes the blocks with fresh
+    nodes, whose length has changed elsewhere, and walks each of them to its end
+    (one block is one task), so the number of rounds follows the blocks along a
+    path, not its links. It stops when no block has a fresh node.
     """
-    links = cut_lineage(_prepare_links(edges, hub_links))
-    length = links.schema["length_m"].dataType
-    parts = links.select(F.col("dst").alias("node_id"), F.col("dst_parts").alias("parts")).distinct()
-    reached = (
-        source.join(parts, "node_id", "left")
-        .select(
+    spark = edges.sparkSession
+    kind = edges.schema["length_m"].dataType
+    number = "long" if isinstance(kind, T.IntegralType) else "double"
+    node = edges.schema["src"].dataType.simpleString()
+    typed = edges.withColumn("length_m", F.col("length_m").cast(number))
+    links_path = staging_path(spark, "road-links")
+    links_schema = T.StructType.fromDDL(f"src {node}, dst {node}, length_m {number}, block int")
+    # each task of the range shuffle is one block and writes one folder
+    link_blocks(typed, places, block_links).write.partitionBy("block").parquet(links_path)
+    links = spark.read.schema(links_schema).parquet(links_path)
+    homes_path, homes = _staged(links.select(F.col("src").alias("node_id"), "block").distinct(), "road-homes")
+    start = source.select("node_id", F.lit(0).cast(number).alias("length_m"))
+    known_path, known = _staged(start.withColumn("origin", F.lit(-1)).withColumn("changed", F.lit(True)), "road-lengths")
+    result = f"node_id {node}, length_m {number}, block int"
+    while True:
+        at_home = known.join(homes, "node_id")
+        # a block that found a length itself has followed it already
+        fresh = F.col("changed") & (F.col("origin") != F.col("block"))
+        state = at_home.select("block", "node_id", "length_m", fresh.alias("fresh"))
+        active = state.where("fresh").select("block").distinct()
+        blocks = [r.block for r in active.collect()]  # one number for each BLOCK_LINKS links at most
+        if not blocks:
+            break
+        chosen = F.col("block").isin(blocks)  # prunes the folders of other blocks
+        walked = (
+            state.where(chosen)
+            .groupBy("block")
+            .cogroup(links.where(chosen).groupBy("block"))
+            .applyInPandas(_walk_block, result)
+        )
+        offers = walked.groupBy("node_id").agg(F.min(F.struct("length_m", "block")).alias("o"))
+        merged = known.select("node_id", F.col("length_m").alias("old")).join(offers, "node_id", "full")
+        better = F.col("o").isNotNull() & (F.col("old").isNull() | (F.col("o.length_m") < F.col("old")))
+        now = merged.select(
             "node_id",
-            F.lit(0).cast(length).alias("length_m"),
-            # A source no link leads to may still be a hub: one part more or
-            # less would lose links, so it is counted here.
-            F.coalesce("parts", _own_parts(links, source)).alias("parts"),
-            F.lit(True).alias("active"),
+            F.when(better, F.col("o.length_m")).otherwise(F.col("old")).alias("length_m"),
+            F.when(better, F.col("o.block")).otherwise(-1).alias("origin"),
+            better.alias("changed"),
         )
-    )
-    while True:  # lengths are not negative, so offers run out
-        for _ in range(hops):
-            reached = _relax(reached, links)
-        reached = cut_lineage(reached)
-        if reached.where("active").isEmpty():
-            return reached.select("node_id", "length_m")
-
-
-def _own_parts(links: DataFrame, source: DataFrame):
-    used = links.join(source.withColumnRenamed("node_id", "src"), "src", "left_semi")
-    return F.coalesce(used.agg(F.max("part").alias("p")).scalar() + 1, F.lit(1))
+        before = known_path
+        known_path, known = _staged(now, "road-lengths")
+        remove_staged(spark, before)
+    remove_staged(spark, links_path)
+    remove_staged(spark, homes_path)
+    return known.select("node_id", F.col("length_m").cast(kind).alias("length_m"))
 
 
 def road_distance(
-    plots: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float, cell: float = 0.01
+    plots: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float, reach_m: float = REACH_M
 ) -> DataFrame:
     """Kilometres along roads between the nodes nearest the point and each plot.
 
-    Unreachable plots and empty shapes get NULL.
+    The network is that of the working area: nodes within ``reach_m`` of the
+    mean of all plots and the point, and the links between them. Unreachable
+    plots and empty shapes get NULL.
     """
     spark = plots.sparkSession
-    origin = spark.range(1).select(
-        F.lit("origin").alias("point_id"), F.lit(lon).alias("lon"), F.lit(lat).alias("lat")
-    )
-    start = nearest_nodes(origin, nodes, cell).select("node_id")
+    kept, inside = network_near(nodes, edges, working_area(plots, lon, lat), reach_m)
+    kept_path, kept = _staged(kept, "road-nodes")
+    origin = spark.range(1).select(F.lit("origin").alias("point_id"), F.lit(lon).alias("lon"), F.lit(lat).alias("lat"))
+    start = nearest_nodes(origin, kept).select("node_id")
     c = F.col("centroid")
     centres = (
         with_centroid(plots)
         .where(c.isNotNull())
         .select(F.col("plot_id").alias("point_id"), c["cx"].alias("lon"), c["cy"].alias("lat"))
     )
-    ends = nearest_nodes(centres, nodes, cell).withColumnRenamed("point_id", "plot_id")
-    lengths = shortest_paths(edges, start)
+    ends = nearest_nodes(centres, kept).withColumnRenamed("point_id", "plot_id")
+    lengths = shortest_paths(inside, start, kept)
+    remove_staged(spark, kept_path)
     return plots.join(
         ends.join(lengths, "node_id", "left").select(
             "plot_id", "node_id", (F.col("length_m") / 1000).alias("road_distance_km")

@@ -85,14 +85,14 @@ def test_shortest_paths_with_a_hub(spark):
                 heapq.heappush(queue, (d + w, b))
     edges = spark.createDataFrame(links, "src long, dst long, length_m long")
     source = spark.createDataFrame([(7,)], "node_id long")
-    got = roads.shortest_paths(edges, source, hops=2, hub_links=10)
+    got = roads.shortest_paths(edges, source, block_links=10)
     assert {r["node_id"]: r["length_m"] for r in got.collect()} == best
 
 
 def test_paths_from_a_hub_nothing_leads_to(spark):
     edges = spark.createDataFrame([(0, i, i) for i in range(1, 60)], "src long, dst long, length_m long")
     source = spark.createDataFrame([(0,)], "node_id long")
-    got = roads.shortest_paths(edges, source, hub_links=7)
+    got = roads.shortest_paths(edges, source, block_links=7)
     assert {r["node_id"]: r["length_m"] for r in got.collect()} == {i: i for i in range(60)}
 
 
@@ -103,7 +103,7 @@ def test_nearest_node_equals_brute_force(spark):
     got = roads.nearest_nodes(
         spark.createDataFrame(points, "point_id long, lon double, lat double"),
         spark.createDataFrame(nodes, "node_id long, lon double, lat double"),
-        0.05,
+        leaf=4,
     )
     import math
 
@@ -166,15 +166,63 @@ def test_nearest_nodes_of_far_points_and_without_nodes(spark):
         "point_id string, lon double, lat double",
     )
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.5)], "node_id long, lon double, lat double")
-    got = {r.point_id: r.node_id for r in roads.nearest_nodes(points, nodes, 0.01).collect()}
+    got = {r.point_id: r.node_id for r in roads.nearest_nodes(points, nodes).collect()}
     assert got == {"near": 1, "far": 1}
-    assert roads.nearest_nodes(points, nodes.limit(0), 0.01).count() == 0
+    assert roads.nearest_nodes(points, nodes.limit(0)).count() == 0
+
+
+def test_far_points_meet_the_edge_of_a_town_only(spark):
+    """A dense town, a twin node, many nodes on one spot; no point meets more than a few leaves."""
+    import math
+
+    rng = random.Random(5)
+    nodes = [(i, 10 + rng.gauss(0, 0.01), 50 + rng.gauss(0, 0.01)) for i in range(1500)]
+    nodes += [(5000, nodes[3][1], nodes[3][2]), (6000, -20.0, -20.0)] + [(7000 + i, 11.0, 51.0) for i in range(100)]
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(60)] + [(99, 11.0, 51.0), (98, nodes[3][1], nodes[3][2])]
+    frame = spark.createDataFrame(nodes, "node_id long, lon double, lat double")
+    got = {r.point_id: r.node_id for r in roads.nearest_nodes(spark.createDataFrame(points, "point_id long, lon double, lat double"), frame, leaf=16).collect()}
+    for i, x, y in points:
+        d = lambda n: math.hypot((n[1] - x) * math.cos(math.radians(y)), n[2] - y)
+        assert abs(d(next(n for n in nodes if n[0] == got[i])) - min(map(d, nodes))) < 1e-12
+    assert got[99] == 7000 and got[98] == 3
+    tree = roads.node_tree(frame.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat")), 16).collect()
+    leaves = [r for r in tree if r.leaf]
+    assert sum(r.n for r in leaves) == len(nodes)
+    assert all(r.n <= 16 or r.level == roads.DEPTH for r in leaves) and max(r.n for r in leaves) == 100
+
+
+def test_paths_cross_blocks_and_come_back(spark):
+    """A grid of roads in blocks of a few links; lengths equal one walk over the whole graph."""
+    rng = random.Random(11)
+    n = 12
+    links = []
+    for x in range(n):
+        for y in range(n):
+            for u, v in ((x + 1, y), (x, y + 1), (x - 1, y), (x, y - 1)):
+                if 0 <= u < n and 0 <= v < n and rng.random() < 0.8:
+                    links.append((x * n + y, u * n + v, rng.random() * 5))
+    links += [(3, 3, 1.0), (5, None, 1.0), (None, 4, 1.0), (6, 7, None)]
+    places = [(x * n + y, 20 + x * 0.01, 40 + y * 0.01) for x in range(n) for y in range(n)]
+    best, queue = {0: 0.0}, [0]
+    while queue:
+        a = queue.pop(0)
+        for u, v, w in links:
+            if u == a and v is not None and w is not None and best[a] + w < best.get(v, 1e9):
+                best[v] = best[a] + w
+                queue.append(v)
+    edges = spark.createDataFrame(links, "src long, dst long, length_m double")
+    source = spark.createDataFrame([(0,)], "node_id long")
+    got = roads.shortest_paths(edges, source, spark.createDataFrame(places, "node_id long, lon double, lat double"), block_links=90)
+    got = {r.node_id: r.length_m for r in got.collect()}
+    assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in got)
+    nowhere = roads.shortest_paths(edges, source.where("node_id > 5"))
+    assert nowhere.count() == 0 and roads.shortest_paths(edges.limit(0), source).count() == 1
 
 
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1, 2) for k in range(60)], "src long, dst long, length_m long")
     source = spark.createDataFrame([(0,)], "node_id long")
-    got = {r.node_id: r.length_m for r in roads.shortest_paths(edges, source, hops=8).collect()}
+    got = {r.node_id: r.length_m for r in roads.shortest_paths(edges, source, block_links=8).collect()}
     assert got == {k: 2 * k for k in range(61)}
 
 
