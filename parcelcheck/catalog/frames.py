@@ -111,6 +111,27 @@ def form_sql(div: str) -> str:
     FROM ({shapes_sql(div)}) f"""
 
 
+# Rings of 200 and 900 vertices, one shape per supplier, in nano-degrees. Every
+# second vertex lies a fifth nearer to the centre, so the others are the hull.
+# By the key's remainder by 5: a plain ring, a vertex thrown across, a hole, a
+# hole that leaves its shell, a second part.
+def long_rings_sql(div: str) -> str:
+    angle = "(6.283185307179586e0 * i / n)"
+    reach = """CASE WHEN k % 5 = 1 AND ring = 0 AND i = n - 7 THEN -0.9e0 WHEN i % 2 = 0 THEN 1e0 ELSE 0.8e0 END
+      * (1000000 + 100000 * (k % 7)) * CASE WHEN ring = 0 THEN 1e0 WHEN k % 5 = 4 THEN 0.9e0 ELSE 0.5e0 END"""
+    shift = "CASE WHEN ring = 0 THEN 0 WHEN k % 5 = 3 THEN 700000 WHEN k % 5 = 4 THEN 4000000 ELSE 0 END"
+    series = (
+        "LATERAL VIEW explode(sequence(0, 899)) v AS i LATERAL VIEW explode(sequence(0, 1)) w AS ring"
+        if div == "div"
+        else ", unnest(range(0, 900)) AS v(i), unnest(range(0, 2)) AS w(ring)"
+    )
+    return f"""
+    SELECT k, ring, i, n, 73000000000 + 10000000 * (k % 1000) + {shift} + cast(floor({reach} * cos({angle}) + 0.5) AS bigint) AS x,
+           9000000000 + 10000000 * (k {div} 1000) + cast(floor({reach} * sin({angle}) + 0.5) AS bigint) AS y
+    FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 200 ELSE 900 END AS n, i, ring FROM supplier {series}) r
+    WHERE i < n AND (ring = 0 OR k % 5 > 1)"""
+
+
 # Reference layers as rectangles (id, name, west, south, east, north in 0.0001
 # degrees), tied to the rows of region and nation.
 COUNTRIES_SQL = """
@@ -156,6 +177,18 @@ def shapes(
     return settle(spread(rows), geom=named_trace_polygon("trace", accuracy, zero_valid)).drop("trace")
 
 
+def long_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of many vertices: ``k``, ``geom``."""
+    rows = _views(spark, sf_dir, long_rings_sql("div"), ("supplier",))
+    at = F.struct((F.col("x") / 1e9).alias("x"), (F.col("y") / 1e9).alias("y"))
+    # one ring of 900 vertices at most
+    rings = rows.groupBy("k", "ring").agg(F.sort_array(F.collect_list(F.struct("i", at.alias("v")))).alias("vs"))
+    closed = rings.select("k", "ring", F.expr("transform(concat(vs, slice(vs, 1, 1)), z -> z.v)").alias("r"))
+    both = closed.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("ring", "r"))).alias("rs"))
+    split = F.expr("if(k % 5 = 4, transform(rs, z -> array(z.r)), array(transform(rs, z -> z.r)))")
+    return settle(both, geom=split.cast(GEOM_DDL)).select("k", "geom")
+
+
 def _rectangles(layer: DataFrame) -> DataFrame:
     corner = lambda x, y: F.concat_ws(
         " ", (F.col(x) / 10000).cast("string"), (F.col(y) / 10000).cast("string")

@@ -13,6 +13,7 @@ from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
 from parcelcheck.functions.text import to_geojson
 from parcelcheck.functions.trace import parse_trace
+from parcelcheck.operators import long_rings as L
 from parcelcheck.operators import lookup as J
 from parcelcheck.operators import measure as M
 from parcelcheck.operators import outline as O
@@ -103,6 +104,48 @@ def g1(spark, sf):
     return X.shapes(spark, sf).select("k", E.state(F.col("geom")).alias("state"))
 
 
+LONG_EDGES = f"""WITH pt AS MATERIALIZED ({X.long_rings_sql('//')}),
+ed AS MATERIALIZED (SELECT k, ring, i, n, x AS x1, y AS y1, lead(x, 1, fx) OVER w AS x2, lead(y, 1, fy) OVER w AS y2 FROM
+  (SELECT *, first_value(x) OVER w0 AS fx, first_value(y) OVER w0 AS fy FROM pt WINDOW w0 AS (PARTITION BY k, ring ORDER BY i)) p
+  WINDOW w AS (PARTITION BY k, ring ORDER BY i))
+"""
+# differences of nano-degrees are exact in 64 bits
+_LONG_SIDE = "sign(({0}.x2 - {0}.x1) * ({1}.y{2} - {0}.y1) - ({0}.y2 - {0}.y1) * ({1}.x{2} - {0}.x1))"
+_LONG_CROSS = " AND ".join(
+    f"{_LONG_SIDE.format(a, b, 1)} * {_LONG_SIDE.format(a, b, 2)} < 0" for a, b in (("a", "b"), ("b", "a"))
+)
+
+
+@query(
+    "g1_long_rings",
+    LONG_EDGES
+    + f"""SELECT k, CASE WHEN k IN (SELECT a.k FROM ed a JOIN ed b ON a.k = b.k AND (a.ring < b.ring OR (a.ring = b.ring AND a.i < b.i))
+   WHERE least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+     AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) AND {_LONG_CROSS})
+ THEN 'invalid' ELSE 'valid' END AS state FROM (SELECT DISTINCT k FROM pt) s""",
+)
+def g1_long(spark, sf):
+    """Rings of 200 and 900 vertices with holes and parts, crossed or not."""
+    return X.long_rings(spark, sf).select("k", E.state(F.col("geom")).alias("state"))
+
+
+@query(
+    "g13_long_rings",
+    LONG_EDGES
+    + f"""SELECT k, {Q.scaled('min((u1 - u0) * v1)', 1)} AS area FROM (
+  SELECT e.k, e.i, max(u) AS u1, min(u) AS u0, max(v) AS v1 FROM (
+    SELECT a.k, a.i, ((p.x - a.x1) * a.dx + (p.y - a.y1) * a.dy) / a.l AS u, ((p.y - a.y1) * a.dx - (p.x - a.x1) * a.dy) / a.l AS v
+    FROM (SELECT *, sqrt(dx * dx + dy * dy) AS l FROM (SELECT p.k, p.i, p.x * 1e-3 AS x1, p.y * 1e-3 AS y1, (q.x - p.x) * 1e-3 AS dx, (q.y - p.y) * 1e-3 AS dy
+      FROM pt p JOIN pt q ON p.k = q.k AND p.ring = 0 AND q.ring = 0 AND p.i % 2 = 0 AND q.i = (p.i + 2) % p.n) d) a
+    JOIN (SELECT k, x * 1e-3 AS x, y * 1e-3 AS y FROM pt WHERE ring = 0 AND i % 2 = 0) p ON a.k = p.k) e GROUP BY e.k, e.i) b GROUP BY k""",
+)
+def g13_long(spark, sf):
+    """Rectangles of the shells, in square micro-degrees."""
+    shell = F.col("geom")[0][0]
+    rows = R.settle(X.long_rings(spark, sf), rect=L.min_rectangle(shell))
+    return rows.select("k", scaled(F.col("rect.area") * 1e12, 1).alias("area"))
+
+
 @query(
     "g2_duplicate_vertices",
     Q.ctes(Q.tokens(), Q.parsed())

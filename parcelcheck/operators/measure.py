@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
+from parcelcheck.operators.long_rings import min_rectangle
 from parcelcheck.params import LayerSpec
 
 # Fixed value: width standing in for a zero-width rectangle.
@@ -134,7 +135,7 @@ def add_rectangle(df: DataFrame, geodesic: bool) -> DataFrame:
 
 @cache
 def _rectangle(source: str) -> Column:
-    return F.when(F.size(source) > 0, R.min_rectangle(R.vertices(F.col(source))))
+    return F.when(F.size(source) > 0, min_rectangle(R.vertices(F.col(source))))
 
 
 def add_protruding_ratio(df: DataFrame, spec: LayerSpec) -> DataFrame:

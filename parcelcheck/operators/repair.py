@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcheck.functions import rings as R
+from parcelcheck.operators.long_rings import is_valid
 from parcelcheck.operators.outline import zero_buffer
 
 # Accepted change of area by the zero-width buffer, domain of
@@ -23,7 +24,7 @@ def state(geom: Column) -> Column:
     return (
         F.when(geom.isNull(), "missing")
         .when(F.size(geom) == 0, "empty")
-        .when(R.is_valid(geom), "valid")
+        .when(is_valid(geom), "valid")
         .otherwise("invalid")
     )
 

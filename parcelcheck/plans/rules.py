@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelcheck.functions import rings as R
 from parcelcheck.functions.text import to_geojson
+from parcelcheck.operators.long_rings import is_valid
 from parcelcheck.operators.measure import over
 from parcelcheck.params import LayerSpec
 
@@ -91,7 +91,7 @@ def quarantine(df: DataFrame, geom: str = "geom", text: str = "geometry", row: s
         F.when(F.col(text).isNull(), "Geometry is None or NaN")
         .when(g.isNull(), "Geometry conversion error")
         .when(F.size(g) == 0, "Empty geometry")
-        .when(~R.is_valid(g), "Invalid geometry"),
+        .when(~is_valid(g), "Invalid geometry"),
     )
     good = marked.where(F.col("error").isNull()).drop("error")
     bad = marked.where(F.col("error").isNotNull()).select(
