@@ -1,13 +1,13 @@
 """Line dedup across documents: equal and nearly equal lines are kept once.
 
 A line is normalised to its words in lower case without punctuation, digits as
-0. Its distinct words are dealt by hash to lanes, about one for sixteen words,
+0. Its distinct words are dealt by hash to lanes, about one for eleven words,
 and each lane has a SimHash of its own: bit i is set if more than half of the
 hashes of its LANE_WORDS least words have it. These are the pigeonhole blocks:
 an edit touches two lanes at most, so of two lines with fewer than half as many
 edits as lanes, one lane at least is the same in both, and most lines with more
 edits keep one as well (README has the measured share). Lanes are counted for
-length classes; a line near the upper end of its class has the lanes of the
+classes of distinct words; a line near the upper end of its class has the lanes of the
 next class, too.
 
 In every block each text meets the block's first one; linked texts form
@@ -39,21 +39,21 @@ from parcelcheck.llm.components import components
 from parcelcheck.llm.secret_scan import let
 from parcelcheck.session import remove_staged, staging_path
 
-#: Lines of fewer words have no near lines; as equal ones they count from so many characters on.
+#: Lines of fewer distinct words have no near lines; as equal ones they count from so many characters on.
 MIN_WORDS, EXACT_CHARS = 5, 20
-#: A length class reaches from a length to half as much more; words of a lane, about; words that its SimHash takes at most.
-CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 16, 7
+#: A class reaches from a number of distinct words to half as much more; words of a lane, about; words that its SimHash takes at most.
+CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 11, 15
 #: Characters whose words a task holds in arrays at once, about.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Rows of one side that meet in a cell of a large block.
 BLOCK_ROWS = 1000
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TO = "abcdefghijklmnopqrstuvwxyz000000000    "
 _FILTER_BITS = 1 << 20
-#: Hash bits of a word that stand below its lane, a counter of three bits for every third of them, and shifts that are counted.
+#: Hash bits of a word that stand below its lane, a counter of four bits for every fourth of them, and shifts that are counted.
 _HASH = (1 << 48) - 1
-_EACH = sum(1 << j for j in range(0, 48, 3))
-_SHIFTS = 2
+_EACH = sum(1 << j for j in range(0, 48, 4))
+_SHIFTS = 3
 
 
 def line_words(line: Column) -> Column:
@@ -74,11 +74,16 @@ def lane_keys(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     """Keys of all lines, one after the other, and how many each line has.
 
     ``lengths`` are the words of each line, ``hashes`` those of all words. A
-    key hashes class, lane and the lane's SimHash. Counters of three bits hold
-    up to LANE_WORDS words; with 3 less half of the words added, the highest
+    key hashes class, lane and the lane's SimHash. Counters of four bits hold
+    up to LANE_WORDS words; with 7 less half of the words added, the highest
     bit of each tells the majority.
     """
     line = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    lengths, hashes = np.bincount(line[fresh], minlength=len(lengths)), hashes[fresh]
     own = np.floor(np.log(np.maximum(lengths, 1)) / math.log(CLASS_STEP)).astype(np.int64)
     both = CLASS_STEP ** (own + 1) * 0.9 <= lengths
     times = np.where(lengths >= MIN_WORDS, 1 + both, 0)
@@ -86,7 +91,7 @@ def lane_keys(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     owner = np.repeat(np.arange(len(lengths)), times)
     second = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
     grade = own[owner] + second
-    lanes = np.floor(CLASS_STEP ** (grade + 1) / WORDS_A_LANE).astype(np.uint64) + np.uint64(2)
+    lanes = np.maximum(np.floor(CLASS_STEP ** (grade + 1) / WORDS_A_LANE).astype(np.uint64) + np.uint64(1), np.uint64(2))
     sizes = lengths[owner]
     at = np.arange(int(sizes.sum())) + np.repeat((np.cumsum(lengths) - lengths)[owner] - (np.cumsum(sizes) - sizes), sizes)
     h = hashes[at]
@@ -109,7 +114,7 @@ def lane_keys(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     begins = np.cumsum(counts) - counts
     for j in range(_SHIFTS):
         sums = np.add.reduceat((low >> j) & _EACH, begins) if len(begins) else np.zeros(0, np.int64)
-        key = _mixed(key ^ ((sums + (3 - counts // 2) * _EACH) & (4 * _EACH)))
+        key = _mixed(key ^ ((sums + (7 - counts // 2) * _EACH) & (8 * _EACH)))
     return key, np.bincount(owner[named // widest], minlength=len(lengths))
 
 

@@ -197,19 +197,19 @@ def word_hash(word):
 
 def lanes_of(words):
     """(class, lane, SimHash of the lane), by counting bits."""
-    n = len(words)
+    n = len(set(words))
     if n < fuzzy_lines.MIN_WORDS:
         return set()
     own = math.floor(math.log(n) / math.log(fuzzy_lines.CLASS_STEP))
     out = set()
     for c in [own, own + 1] if fuzzy_lines.CLASS_STEP ** (own + 1) * 0.9 <= n else [own]:
-        lanes = math.floor(fuzzy_lines.CLASS_STEP ** (c + 1) / fuzzy_lines.WORDS_A_LANE) + 2
+        lanes = max(2, math.floor(fuzzy_lines.CLASS_STEP ** (c + 1) / fuzzy_lines.WORDS_A_LANE) + 1)
         dealt = defaultdict(list)
         for h in {word_hash(w) for w in words}:
             dealt[(h % 2**64 >> 48) % lanes].append(h % 2**48)
         for lane, low in dealt.items():
             low = sorted(low)[: fuzzy_lines.LANE_WORDS]
-            bits = tuple(2 * sum(x >> i & 1 for x in low) > len(low) for i in range(48) if i % 3 < fuzzy_lines._SHIFTS)
+            bits = tuple(2 * sum(x >> i & 1 for x in low) > len(low) for i in range(48) if i % 4 < fuzzy_lines._SHIFTS)
             out.add((c, lane, bits))
     return out
 
