@@ -10,7 +10,8 @@ from parcelcheck.catalog.registry import query, scaled
 from parcelcheck.operators.skew import first_per_key, group_median
 from parcelcheck.plans import layers
 from parcelcheck.plans import vegetation as V
-from parcelcheck.sources.forms import rename_keys
+from parcelcheck.session import staging_path
+from parcelcheck.sources.forms import read_levels, rename_keys
 
 START, END = "1997-01-01", "1998-06-30"
 
@@ -113,7 +114,12 @@ def p10(spark, sf):
 
 @query("s2_linked_levels", LEVELS_SQL + "SELECT PLOT_KEY, SUBPLOT_KEY, VEGETATION_KEY, MEASUREMENT_KEY, CIRCUMFERENCE_KEY FROM m_cir")
 def s2(spark, sf):
-    return levels(spark, sf).circumference.select(
+    """Five files as a survey server exports them, read and linked."""
+    paths = {name: staging_path(spark, f"level-{name}") for name in PARTS}
+    for name, path in paths.items():
+        raw_level(spark, sf, name).write.parquet(path)
+    five = read_levels(spark, paths)
+    return V.join_levels(*[five[name] for name in PARTS], START, END).circumference.select(
         "PLOT_KEY", "SUBPLOT_KEY", "VEGETATION_KEY", "MEASUREMENT_KEY", "CIRCUMFERENCE_KEY"
     )
 

@@ -31,7 +31,7 @@ PLOT_ID = f"'{X.COUNTRY}_PartnerCo_' || strftime(starttime, '%Y%m%d') || '_' ||
 def numbered(spark, sf) -> DataFrame:
     """Forms in three source files, numbered in file order."""
     rows = X.forms(spark, sf).withColumn("source_file", F.concat(F.lit("f"), (F.col("k") % 3).cast("string")))
-    return H.number_forms(rows, X.COUNTRY, X.PARTNER, "source_file", "k", block=4096)
+    return H.number_forms(rows, X.COUNTRY, X.PARTNER, "source_file", "k")
 
 
 NUMBERED = f"nf AS (SELECT *, row_number() OVER (ORDER BY k % 3, k) AS n FROM ({FORM}) f), ids AS (SELECT *, {PLOT_ID} AS plot_id FROM nf)"
@@ -43,7 +43,7 @@ NUMBERED = f"nf AS (SELECT *, row_number() OVER (ORDER BY k % 3, k) AS n FROM ({
 )
 def w1(spark, sf):
     rows = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    return number_rows(rows, "o_orderstatus", "k", "n", block=1000).select("k", "n")
+    return number_rows(rows, "o_orderstatus", "k", "n").select("k", "n")
 
 
 @query("p3_survey_ids", f"WITH {NUMBERED} SELECT k, plot_id FROM ids")
@@ -101,7 +101,7 @@ UNPIVOT = " UNION ALL ".join(f"SELECT plot_id, {i} AS i, gt_subplot_{i} AS trace
  strftime(starttime, '%Y-%m-%d') AS collection_date, cast(coalesce(length(trace), 0) AS BIGINT) AS trace_length FROM u""",
 )
 def p6(spark, sf):
-    return H.subplot_rows(numbered(spark, sf), "k").select(
+    return H.subplot_rows(numbered(spark, sf), "k", numbered=True).select(
         "subplot_id", "collection_date", F.coalesce(F.length("trace"), F.lit(0)).cast("long").alias("trace_length")
     )
 
@@ -384,6 +384,24 @@ def s9(spark, sf):
     return W.read_layer(spark, path).select("k", "valid", scaled(F.col("area_m2"), 100).alias("area_cm"))
 
 
+@query(
+    "s9_reattach",
+    f"""WITH a AS ({ATTRIBUTES}) SELECT 'SP' || cast(doc_id AS VARCHAR) AS plot_id, lang AS collection_date,
+ {Q.scaled('mean_ndvi')} AS ndvi, {Q.scaled('mean_slope')} AS slope
+FROM documents LEFT JOIN a ON 'SP' || cast(doc_id AS VARCHAR) = a.plot_id WHERE doc_id % 8 <= 2""",
+)
+def s9_reattach(spark, sf):
+    """Sampled plots exported without attributes, reloaded with those of the attribute file."""
+    good, _ = rules.quarantine(selected(spark, sf))
+    langs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("collection_date"))
+    plots, attributes = staging_path(spark, "selected"), staging_path(spark, "ndvi-slope")
+    W.write_sampled(good.join(langs, "k"), plots)
+    W.write_csv(X._views(spark, sf, ATTRIBUTES, ("part",)), attributes)
+    return W.reload_sampled(spark, plots, S.ndvi_slope(spark, attributes)).select(
+        "plot_id", "collection_date", scaled(F.col("mean_ndvi")).alias("ndvi"), scaled(F.col("mean_slope")).alias("slope")
+    )
+
+
 @query("s10_csv_export", VERDICT + "SELECT cast(k AS VARCHAR) AS k, nullif(reasons, '') AS reasons FROM v WHERE reasons LIKE '%Plot too small%'")
 def s10(spark, sf):
     path = staging_path(spark, "csv")

@@ -47,10 +47,10 @@ def device_prefix(info: Column) -> Column:
 
 
 def number_forms(
-    forms: DataFrame, country: str, partner: str, source: str, position: str, block: int = 1_000_000
+    forms: DataFrame, country: str, partner: str, source: str, position: str
 ) -> DataFrame:
     """Add ``plot_id`` from the running number of the form in file order."""
-    numbered = number_rows(forms, source, position, "_n", block)
+    numbered = number_rows(forms, source, position, "_n")
     return numbered.withColumn(
         "plot_id",
         survey_id(country, partner, F.col("starttime"), F.col("enumerator_id"), F.col("_n")),
@@ -80,12 +80,14 @@ def plot_rows(
     )
 
 
-def subplot_rows(forms: DataFrame, position: str) -> DataFrame:
+def subplot_rows(forms: DataFrame, position: str, numbered: bool = False) -> DataFrame:
     """Sixteen trace columns to sixteen rows per plot.
 
     ``forms`` has ``plot_id``; forms sharing one are reduced to the first.
+    ``numbered`` says that the ids come from ``number_forms``, so that none
+    repeats and the wide rows need no second shuffle.
     """
-    first = first_per_key(forms, ["plot_id"], [position])
+    first = forms if numbered else first_per_key(forms, ["plot_id"], [position])
     stacked = ", ".join(f"{i}, gt_subplot_{i}" for i in range(1, SUBPLOTS_PER_PLOT + 1))
     return first.select(
         "plot_id",

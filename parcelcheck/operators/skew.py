@@ -7,24 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelcheck.session import stage
+
+#: A key of more rows is split into parts of at most so many.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 1_000
-SALTS = 256
+#: Keys that are split, at most: beyond, parts grow with the table.
+HOT_KEYS = 200_000
 
 
-def hot_keys(
-    rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than a thousandth of the table.
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that need more than one part, with ``_salts``, the number of parts.
 
-    The second condition bounds the result to fewer than ``HOT_SHARE`` rows
-    whatever the input, so it is safe to broadcast.
+    A part holds ``hot_rows`` rows or the ``HOT_KEYS``-th part of the table,
+    whichever is more. So there are fewer than ``HOT_KEYS`` such keys whatever
+    the input, and the result is safe to broadcast.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("t"))
-    return counts.where(
-        (F.col("_n") > hot_rows) & (F.col("_n") * HOT_SHARE > total.scalar())
-    ).select(*keys)
+    part = F.greatest(F.lit(hot_rows).cast("long"), F.ceil(total.scalar() / HOT_KEYS))
+    return counts.where(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_salts"))
 
 
 def join_per_key(
@@ -36,25 +37,23 @@ def join_per_key(
 ) -> DataFrame:
     """Left join with a table of at most one row per key.
 
-    Rows of hot keys are spread over salts by the hash of ``spread_by``
-    (columns that differ between the rows of one key); the single matching
-    row is copied to every salt. Keys that are not hot keep salt 0.
+    Rows of hot keys are spread over as many salts as their counted rows need,
+    by the hash of ``spread_by`` (columns that differ between the rows of one
+    key); the single matching row is copied to every salt. Keys that are not
+    hot keep salt 0.
     """
     keys = list(keys)
-    hot = hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = rows.join(hot, keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")
     )
     spread = (
-        per_key.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+        per_key.join(hot, keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
     )
-    return salted.drop("_hot").join(spread, [*keys, "_salt"], "left").drop("_salt")
+    return salted.drop("_salts").join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
 def _order_bucket(value: Column) -> Column:
@@ -123,29 +122,24 @@ def first_per_key(
     return picked.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
 
-def number_rows(
-    rows: DataFrame,
-    source: str,
-    position: str,
-    name: str = "row_number",
-    block: int = 1_000_000,
-) -> DataFrame:
-    """1-based number over all rows in (source, position) order.
+def number_rows(rows: DataFrame, source: str, position: str, name: str = "row_number") -> DataFrame:
+    """1-based number over all rows in (source, position) order, nulls first.
 
-    Positions are cut into blocks; the offsets come from the block counts and
-    the window only ever sorts one block.
+    A prefix sum over ranges: one range shuffle deals the rows in order, each
+    part is counted and numbered by itself, and the counts of the parts before
+    it are added. The dealt rows are staged, because ranges are drawn from a
+    sample that would be another one in a second run.
     """
-    cut = rows.withColumn("_block", F.floor(F.col(position) / block))
-    counts = cut.groupBy(source, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per block: a millionth of the input.
-    offsets = counts.withColumn(
-        "_before",
-        F.sum("_n").over(Window.orderBy(source, "_block")) - F.col("_n"),
-    ).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(source, "_block").orderBy(position))
-    return (
-        cut.withColumn("_inner", inner)
-        .join(offsets, [source, "_block"])
-        .withColumn(name, (F.col("_before") + F.col("_inner")).cast("long"))
-        .drop("_block", "_inner", "_before")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(
+        rows.repartitionByRange(parts, source, position).withColumn("_part", F.spark_partition_id()), "numbered"
     )
+    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for part in range(parts):  # one number for each shuffle partition
+        offsets.append(before)
+        before += counts.get(part, 0)
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(source, position))
+    offset = F.get(F.lit(offsets).cast("array<bigint>"), F.col("_part"))
+    return dealt.withColumn(name, (offset + inner).cast("long")).drop("_part")

@@ -24,20 +24,35 @@ def test_group_median_with_a_hot_key(spark):
         assert got[key] == pytest.approx(statistics.median(v for k, v in rows if k == key and v is not None))
 
 
-def test_hot_keys_are_few_and_spread(spark):
-    df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
-    assert [r["k"] for r in skew.hot_keys(df, ["k"], 100).collect()] == [-1]
-    names = df.select("k").distinct().withColumn("name", F.col("k") * 2)
-    out = skew.join_per_key(df, names, ["k"], ["id"], hot_rows=100)
-    assert out.count() == 10_000
-    assert out.where(F.col("name") != F.col("k") * 2).count() == 0
+def test_hot_keys_get_parts_by_their_counts(spark):
+    """One key of half the rows, a thousand middle keys, a null key."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, -1).when(F.col("id") % 19 == 1, None).otherwise(F.col("id") % 1999).alias("k"), "id"
+    )
+    hot = {r["k"]: r["_salts"] for r in skew.hot_keys(rows, ["k"], 100).collect()}
+    counts = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    assert hot == {k: -(-n // 100) for k, n in counts.items() if n > 100} and hot[-1] == 100
+    names = rows.where("k is not null").select("k").distinct().withColumn("name", F.col("k") * 2)
+    out = skew.join_per_key(rows, names, ["k"], ["id"], hot_rows=100)
+    assert out.count() == 20_000 and out.columns == ["k", "id", "name"]
+    assert out.where("not (name <=> k * 2)").count() == 0
+
+
+def test_parts_grow_where_keys_would_be_too_many(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 4)
+    rows = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    assert skew.hot_keys(rows, ["k"], 10).count() == 0
+    assert skew.hot_keys(rows.where("k < 3"), ["k"], 10).count() == 3
 
 
-def test_numbers_follow_source_and_position(spark):
-    rows = [(f"f{i % 3}", i) for i in range(1000)]
+@pytest.mark.parametrize("files", [3, 900])
+def test_numbers_follow_source_and_position(spark, files):
+    rows = [(f"f{i % files}", i) for i in range(1800)] + [(None, 5), ("f1", None)]
     df = spark.createDataFrame(rows, "src string, ix long").repartition(7)
-    got = {(r["src"], r["ix"]): r["n"] for r in skew.number_rows(df, "src", "ix", "n", block=64).collect()}
-    assert got == {key: n for n, key in enumerate(sorted(rows), 1)}
+    numbered = skew.number_rows(df, "src", "ix", "n")
+    got = {(r["src"], r["ix"]): r["n"] for r in numbered.collect()}
+    order = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)
+    assert got == {key: n for n, key in enumerate(sorted(rows, key=order), 1)}
 
 
 def squares(spark, rows):
