@@ -249,13 +249,53 @@ def g5(spark, sf):
 
 @query(
     "g6_simplify",
-    Q.ctes(Q.tokens(), Q.parsed()) + "SELECT k, count(*) + 1 AS coordinates FROM raw GROUP BY k",
+    Q.ctes(Q.tokens(), Q.parsed())
+    + "SELECT s.k, CASE WHEN count(r.k) > 0 THEN count(r.k) + 1 ELSE 0 END AS coordinates FROM src s LEFT JOIN raw r ON s.k = r.k GROUP BY s.k",
 )
 def g6(spark, sf):
-    rows = X.shapes(spark, sf).where(F.size("geom") > 0)
-    return rows.select(
-        "k", R.coordinate_count(E.simplify_geometry(F.col("geom"))).cast("long").alias("coordinates")
-    )
+    """As shipped: off, every vertex stays."""
+    rows = E.simplify_geometry(X.shapes(spark, sf))
+    return rows.select("k", R.coordinate_count(F.col("geom")).cast("long").alias("coordinates"))
+
+
+#: Metres; a dent of the fixture is 22 to 35 metres deep.
+G6_TOLERANCE = 26.0
+_G6_POINTS = """pts AS (SELECT k, i, e, nn FROM up UNION ALL SELECT k, n AS i, e, nn FROM up WHERE i = 0)"""
+_G6_ALONG = "greatest(0, least(1, ((p.e - a.e) * (b.e - a.e) + (p.nn - a.nn) * (b.nn - a.nn)) / nullif((b.e - a.e)**2 + (b.nn - a.nn)**2, 0)))"
+_G6_OFF = f"sqrt((p.e - a.e - coalesce({_G6_ALONG}, 0) * (b.e - a.e))**2 + (p.nn - a.nn - coalesce({_G6_ALONG}, 0) * (b.nn - a.nn))**2)"
+
+
+@query(
+    "g6_simplify_option",
+    Q.ctes(
+        f"lr AS MATERIALIZED ({X.long_rings_sql('//')})",
+        "ring AS (SELECT k, i, n, x / 1e9 AS x, y / 1e9 AS y FROM lr WHERE ring = 0)",
+        Q.edges("le", "ring", "x", "y"),
+        Q.areas("la", "le"),
+        "zones AS (SELECT k, cast((floor((cx + 180) / 6) % 60 + 1) AS INT) AS z FROM la)",
+        Q.utm("up", "ring", "(SELECT z FROM zones WHERE zones.k = ring.k)"),
+        _G6_POINTS.replace("pts AS (", "pts AS MATERIALIZED ("),
+        f"""cuts AS (SELECT DISTINCT k, 0 AS low, n AS high, 0 AS depth FROM up
+      UNION ALL
+      SELECT k, CASE WHEN half = 0 THEN low ELSE far END, CASE WHEN half = 0 THEN far ELSE high END, depth + 1 FROM (
+        SELECT c.k, c.low, c.high, c.depth, arg_max(p.i, {{'d': {_G6_OFF}, 'i': -p.i}}) AS far, max({_G6_OFF}) AS d
+        FROM cuts c JOIN pts p ON p.k = c.k AND p.i > c.low AND p.i < c.high
+        JOIN pts a ON a.k = c.k AND a.i = c.low JOIN pts b ON b.k = c.k AND b.i = c.high GROUP BY c.k, c.low, c.high, c.depth) s,
+        (SELECT unnest([0, 1]) AS half) h WHERE d > {G6_TOLERANCE})""",
+        """kp AS (SELECT c.k, c.i, coalesce(lead(c.i) OVER (PARTITION BY c.k ORDER BY c.i), m.n) % m.n AS j
+      FROM (SELECT DISTINCT k, low AS i FROM cuts) c JOIN (SELECT DISTINCT k, n FROM lr) m ON c.k = m.k)""",
+        """sg AS MATERIALIZED (SELECT kp.k, kp.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM kp
+      JOIN lr a ON a.k = kp.k AND a.ring = 0 AND a.i = kp.i JOIN lr b ON b.k = kp.k AND b.ring = 0 AND b.i = kp.j)""",
+        f"bad AS (SELECT DISTINCT a.k FROM sg a JOIN sg b ON a.k = b.k AND a.i < b.i WHERE {_LONG_CROSS})",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    # a shell that is crossed afterwards stays whole
+    + "SELECT k, CASE WHEN k IN (SELECT k FROM bad) THEN max(high) + 1 ELSE count(DISTINCT low) + 1 END AS coordinates FROM cuts GROUP BY k",
+)
+def g6_option(spark, sf):
+    """With a tolerance: shells of 200 and 900 vertices lose the dents within it."""
+    rows = X.long_rings(spark, sf).select("k", F.array(F.array(F.col("geom")[0][0])).alias("geom"))
+    out = E.simplify_geometry(rows, G6_TOLERANCE)
+    return out.select("k", R.coordinate_count(F.col("geom")).cast("long").alias("coordinates"))
 
 
 @query(

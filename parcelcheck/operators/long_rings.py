@@ -164,6 +164,42 @@ def _has_inside(hole: np.ndarray, shell: np.ndarray) -> bool:
     return False
 
 
+def kept_corners(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of a line a simplification within ``tolerance`` keeps.
+
+    A stretch is split at its vertex farthest from the segment between its
+    ends (the first of several) as long as that is farther than the tolerance.
+    """
+    keep = np.zeros(len(ring), dtype=bool)
+    keep[[0, -1]] = True
+    open_stretches = [(0, len(ring) - 1)]
+    while open_stretches:
+        low, high = open_stretches.pop()
+        if high - low < 2:
+            continue
+        a, d = ring[low], ring[high] - ring[low]
+        p = ring[low + 1 : high] - a
+        square = d @ d
+        along = np.clip(p @ d / square, 0, 1) if square else np.zeros(len(p))
+        off = p - along[:, None] * d
+        far = np.hypot(off[:, 0], off[:, 1])
+        n = int(np.argmax(far))
+        if far[n] > tolerance:
+            keep[low + 1 + n] = True
+            open_stretches += [(low, low + 1 + n), (low + 1 + n, high)]
+    return keep
+
+
+def corners_to_keep(geom: Column, tolerance: float) -> Column:
+    """For each vertex of a shape in metres, whether simplification keeps it."""
+
+    def flags(parts: list) -> list:
+        return [[kept_corners(_points(ring), tolerance).tolist() if ring else [] for ring in part] for part in parts]
+
+    kind = pa.list_(pa.list_(pa.list_(pa.bool_())))
+    return _each(flags, kind, T.ArrayType(T.ArrayType(T.ArrayType(T.BooleanType()))))(geom)
+
+
 def hull_points(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise from the leftmost; fewer than three if there is no area."""
     p = np.unique(points, axis=0).tolist()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcheck.functions import rings as R
-from parcelcheck.operators.long_rings import is_valid
+from parcelcheck.operators.long_rings import corners_to_keep, is_valid
 from parcelcheck.operators.outline import zero_buffer
 
 # Accepted change of area by the zero-width buffer, domain of
@@ -83,9 +83,26 @@ def disc(geom: Column) -> Column:
     return R.polygon(R.let(centre, ring))
 
 
-def simplify_geometry(geom: Column) -> Column:
-    """Line simplification; the result is always discarded, so a no-op."""
-    return geom
+def simplify_geometry(df: DataFrame, tolerance_m: float | None = None, geom: str = "geom") -> DataFrame:
+    """Drop vertices that lie within ``tolerance_m`` metres of the line without them.
+
+    Off by default: the original computes a simplified shape and always
+    discards it. Distances are measured in the shape's own UTM zone; of the
+    vertices kept, the longitudes and latitudes stay untouched. A shape that
+    would become invalid, and one outside the UTM domain, stays as it is.
+    """
+    if tolerance_m is None:
+        return df
+    from parcelcheck.operators.measure import with_own_plane
+
+    g = F.col(geom)
+    plane = with_own_plane(df.drop("centroid", "_plane"), geom, "_plane").drop("centroid")
+    marked = plane.withColumn("_keep", corners_to_keep(F.col("_plane"), tolerance_m))
+    part = lambda p, i: F.transform(p, lambda ring, j: F.filter(ring, lambda v, n: F.get(F.get(F.get("_keep", i), j), n)))
+    fewer = R.settle(marked, _fewer=F.when(F.size("_plane") > 0, F.transform(g, part)))
+    fine = R.settle(fewer, _fine=F.coalesce(is_valid(F.col("_fewer")), F.lit(False)))
+    out = fine.withColumn(geom, F.when(F.col("_fine"), F.col("_fewer")).otherwise(g))
+    return out.drop("_plane", "_keep", "_fewer", "_fine")
 
 
 def repair(

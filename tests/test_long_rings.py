@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import long_rings as L
+from parcelcheck.operators.repair import simplify_geometry
 
 
 def star(n, seed, dent=0.3):
@@ -82,3 +83,36 @@ def test_nine_hundred_corners_take_milliseconds():
     for _ in range(10):
         assert L.shape_is_valid([[ring]]) and L.smallest_rectangle(ring)
     assert (time.perf_counter() - began) / 10 < 0.02
+
+
+def test_simplification_keeps_the_line_within_its_tolerance():
+    """Every dropped vertex is near the kept line; a straight line keeps its ends, a zero tolerance every corner."""
+    for seed in range(30):
+        ring = np.array(star(40, seed, 0.1 + seed / 60))
+        for tolerance in (0.0, 0.02, 0.1, 5.0):
+            keep = L.kept_corners(ring, tolerance)
+            at = np.flatnonzero(keep)
+            assert keep[0] and keep[-1]
+            for n in np.flatnonzero(~keep):
+                a, b = ring[at[at < n][-1]], ring[at[at > n][0]]
+                d = b - a
+                t = np.clip((ring[n] - a) @ d / max(d @ d, 1e-30), 0, 1)
+                assert np.hypot(*(ring[n] - a - t * d)) <= tolerance + 1e-12
+    line = np.stack([np.arange(20.0), np.zeros(20)], axis=1)
+    assert L.kept_corners(line, 0.0).sum() == 2
+
+
+def test_simplified_shapes_stay_valid(spark):
+    rows = [(k, [[[{"x": 73 + x / 1000, "y": 9 + y / 1000} for x, y in star(80, k)]]]) for k in range(6)] + [(7, []), (8, None)]
+    frame = spark.createDataFrame(rows, f"k int, geom {R.GEOM_DDL}")
+    assert simplify_geometry(frame) is frame
+    small = simplify_geometry(frame, 20.0)
+    assert small.columns == ["k", "geom"]
+    got = {r.k: r.geom for r in small.collect()}
+    assert got[7] == [] and got[8] is None
+    for k, geom in rows[:6]:
+        assert 4 <= len(got[k][0][0]) < 81 and L.shape_is_valid(L._arrays(got[k]))
+        corners = {(v["x"], v["y"]) for v in geom[0][0]}
+        assert all((v["x"], v["y"]) in corners for v in got[k][0][0])
+    whole = {r.k: r.geom for r in simplify_geometry(frame, 1e6).collect()}
+    assert all(len(whole[k][0][0]) == 81 for k in range(6))  # nothing would be left of them
