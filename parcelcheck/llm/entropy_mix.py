@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcheck.llm.common import hash_share, text_of, words_of
@@ -33,6 +33,8 @@ TOLERANCE = 1e-9
 #: Bits of a rounding priority that one pass over the documents decides.
 DIGIT_BITS, DIGITS = 12, 3
 SIZE_CLASSES = 3
+#: Parts in which rows that agree in source, doc_id and size are numbered.
+SALTS = 256
 
 
 @dataclass
@@ -155,6 +157,8 @@ def balance(counts: DataFrame, shares: dict[str | None, Share], rounds: int = 20
                     step = (s.low + s.high) / 2
                     s.done = step in (s.low, s.high)  # no number lies between
             s.dual = step
+    if any(not s.done for s in shares.values()):
+        raise RuntimeError(f"the dual of a source did not settle within {rounds} rounds")
 
 
 def rounded(docs: DataFrame, shares: dict[str | None, Share]) -> DataFrame:
@@ -171,7 +175,7 @@ def rounded(docs: DataFrame, shares: dict[str | None, Share]) -> DataFrame:
     place = table_of(spark, shares)
     rated = docs.join(place, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__r", rate())
     base = F.floor(F.col("__r"))
-    priority = hash_share(F.lit("copies"), F.col("doc_id"), F.col("size")) - (F.col("__r") - base)
+    priority = hash_share(F.lit("copies"), F.col("doc_id"), F.col("size"), F.col("__nth")) - (F.col("__r") - base)
     scale = 2 ** (DIGIT_BITS * DIGITS)
     rated = (
         rated.withColumn("__key", F.floor((priority + 1) / 2 * scale).cast("long"))
@@ -251,15 +255,40 @@ def descend(keys: DataFrame, missing: dict[int, float]) -> tuple[dict[int, int],
     return bound, missing
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate and copies for every row.
+def numbered(rows: DataFrame) -> tuple[str, DataFrame]:
+    """Add ``__nth``: 0, or the number of a row among those that agree in source, doc_id and size.
+
+    Such rows are counted by a salt first, so that a group of any size is
+    numbered in parts; the parts before are added. Rows that don't repeat
+    aren't moved. Also returns the path of the counts.
+    """
+    spark = rows.sparkSession
+    text = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
+    keyed = rows.withColumn("__g", F.xxhash64(F.concat_ws(":", text("source"), text("doc_id"), text("size"))))
+    parts = keyed.groupBy("__g", "__salt").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("__g")  # SALTS rows at most
+    before = F.sum("n").over(group.orderBy("__salt")) - F.col("n")
+    repeated = parts.withColumn("total", F.sum("n").over(group)).withColumn("before", before).where("total > 1")
+    path = staging_path(spark, "repeated")
+    repeated.select("__g", "__salt", "before").write.parquet(path)
+    many = spark.read.schema("__g long, __salt int, before long").parquet(path)
+    place = F.row_number().over(Window.partitionBy("__g", "__salt").orderBy("size"))
+    several = keyed.join(many, ["__g", "__salt"]).withColumn("__nth", (F.col("before") + place).cast("long")).drop("before")
+    single = keyed.join(many.select("__g").distinct(), "__g", "left_anti").withColumn("__nth", F.lit(0).cast("long"))
+    return path, single.unionByName(several).drop("__g", "__salt")
+
+
+def mix(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate and copies for every row, and the ``carried`` columns.
 
     A document without words has one copy and takes nothing. A null source is
-    a source of its own. Rows that repeat doc_id and size share their fate.
-    An empty table gives no rows.
+    a source of its own. Rows that repeat doc_id and size each count; as many
+    of them as the target asks for get a copy more. An empty table gives no
+    rows. A very long text counts with all of its words.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id"), F.col("source"), sizes(docs).alias("size"))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    sized = docs.select("doc_id", "source", *carried, sizes(docs).alias("size"), salt.alias("__salt"))
     path = staging_path(spark, "sizes")
     sized.write.parquet(path)
     own = spark.read.schema(sized.schema).parquet(path)
@@ -270,8 +299,9 @@ def mix(docs: DataFrame) -> DataFrame:
     shares = describe(counts)
     balance(counts, shares)
     remove_staged(spark, counts_path)
-    return rounded(own, shares).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("__r").alias("rate"), "copies"
+    _, told_apart = numbered(own)
+    return rounded(told_apart, shares).select(
+        "doc_id", "source", "size", "source_size", "target", F.col("__r").alias("rate"), "copies", *carried
     )
 
 
@@ -283,23 +313,11 @@ def entropy_mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it."""
-    spark = docs.sparkSession
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it.
+
+    Rows go along with their copies, so texts are written once and not shuffled.
+    """
     columns = docs.columns
-    chosen = mix(docs).select("doc_id", "source", "size", "copies")
-    # rows that agree in these three have the same number of copies
-    plan = chosen.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    path = staging_path(spark, "copies")
-    plan.write.parquet(path)
-    plan = spark.read.schema(plan.schema).parquet(path).select(
-        *[F.col(c).alias(f"__{c}") for c in plan.columns]
-    )
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), sizes(docs).alias("__n"))
-    joined = packed.join(
-        plan,
-        F.col("__row.doc_id").eqNullSafe(F.col("__doc_id"))
-        & F.col("__row.source").eqNullSafe(F.col("__source"))
-        & (F.col("__n") == F.col("__size")),
-    )
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies").cast("int"))))
-    return repeated.where(F.col("__copy") > 0).select("__row.*")
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    chosen = mix(packed, "__row")
+    return chosen.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

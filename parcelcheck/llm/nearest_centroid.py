@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcheck.llm.common import hash_share, held_out
@@ -115,14 +115,18 @@ def document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample(train: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` texts of every language, chosen by a hash of the id.
+    """At most ``per_language`` texts of every language, chosen by a hash of the text.
 
     Languages are counted over all rows; the table of counts is joined back,
-    so nothing is collected for it.
+    so nothing is collected for it. A few times the wanted number pass by the
+    share of their hash, equal texts are one, and of those the least hashes
+    stay: rows that repeat a text or an id, also a null one, count once.
     """
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    drawn = train.join(F.broadcast(sizes), "lang")
-    return drawn.where(hash_share(F.col("doc_id")) * F.col("__n") < per_language).select("doc_id", "text", "lang")
+    drawn = train.withColumn("__share", hash_share(F.col("text"))).join(sizes, "lang")
+    few = drawn.where(F.col("__share") * F.col("__n") < 3 * per_language).dropDuplicates(["lang", "__share"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("__share"))
+    return few.withColumn("__k", first).where(F.col("__k") <= per_language).select("doc_id", "text", "lang")
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:

@@ -91,15 +91,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS)
     """``(y, x)`` of at most ``limit`` labelled documents outside the held-out third.
 
     Several labels of one document count as their majority (ties: good); a
-    null label or id is left out. Rows are chosen by a hash of the id, so
-    reruns choose the same.
+    null label or id is left out. Documents are chosen by a hash of the id, so
+    reruns choose the same; of rows that repeat an id the least feature row
+    stands for all, so ``limit`` bounds the rows whatever repeats.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     voted = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     chosen = voted.orderBy(hash_share(F.col("doc_id")), "doc_id").limit(limit)
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out())
     # at most ``limit`` ids and labels are broadcast
-    return features(own.join(F.broadcast(chosen), "doc_id"), ["y"]).select("y", "x")
+    rows = features(own.join(F.broadcast(chosen), "doc_id"), ["doc_id", "y"])
+    # combines on the map side: at most ``limit`` rows from any task
+    return rows.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x")
 
 
 def fit(sample: DataFrame, pairs: int = MAX_PAIRS, ridge: float = 1e-3, rounds: int = 60) -> Model:

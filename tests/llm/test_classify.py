@@ -42,6 +42,42 @@ def test_quality_of_odd_rows(spark, odd, nothing):
     assert {r.score for r in unlabelled} == {0.5}
 
 
+def test_quality_sample_is_bounded_whatever_repeats(spark):
+    """An id of a third of all rows gives one row, and labels beyond the limit none."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 2).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text")
+    )
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    some = pairwise_quality.labelled_sample(docs, labels, 40).collect()
+    assert len(some) <= 40
+    every = pairwise_quality.labelled_sample(docs, labels).count()
+    learnable = {r.doc_id for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).collect()}
+    assert every == len(learnable)
+
+
+def test_fit_reaches_the_least_loss(spark):
+    """Newton's weights come to the least pairwise logistic loss, found here by plain descent over all pairs."""
+    rng = np.random.default_rng(3)
+    width = len(pairwise_quality.FEATURES)
+    rows = [(k % 2, [float(x) for x in rng.normal((k % 2) * 0.4, 1.0, width)]) for k in range(60)]
+    ridge = 1e-3
+    model = pairwise_quality.fit(spark.createDataFrame(rows, "y int, x array<double>"), pairs=10**9, ridge=ridge)
+    x = (np.array([r[1] for r in rows]) - np.array(model.mean)) / np.array(model.scale)
+    w = np.array(model.weights)
+    y = np.array([r[0] for r in rows])
+
+    def loss(w):
+        gaps = [(a - b) @ w for a in x[y == 1] for b in x[y == 0]]
+        return np.mean(np.log1p(np.exp(-np.array(gaps)))) + ridge / 2 * w @ w
+
+    v = np.zeros(width)
+    diff = np.array([a - b for a in x[y == 1] for b in x[y == 0]])
+    for _ in range(6000):
+        v -= 0.5 * (-(diff / (1 + np.exp(diff @ v))[:, None]).mean(axis=0) + ridge * v)
+    # pairs are drawn, so the weights come near the least loss over all pairs
+    assert 0 <= loss(w) - loss(v) < 0.1 * (loss(np.zeros(width)) - loss(v))
+
+
 def test_fit_separates_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(k % 2, [float(x) for x in rng.normal(k % 2, 0.1, len(pairwise_quality.FEATURES))]) for k in range(200)]
@@ -108,6 +144,18 @@ def test_language_of_odd_rows(odd, nothing):
     assert {r.lang_pred for r in nearest_centroid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_whatever_repeats(spark):
+    """Null ids and copies of one text, a third of the rows each, don't widen the sample."""
+    docs = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 1, "the same text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"),
+        F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"),
+    )
+    rows = nearest_centroid.sample(docs, 50).collect()
+    assert {g: sum(r.lang == g for r in rows) for g in ("en", "de")} == {"en": 50, "de": 50}
+    assert len({(r.lang, r.text) for r in rows}) == 100
+
+
 def test_far_texts_are_rejected(spark):
     rng = np.random.default_rng(0)
     words = {"en": "the and of water house stone", "de": "und der die wasser haus stein"}

@@ -71,6 +71,33 @@ def test_mix_of_odd_rows(odd, nothing):
     assert entropy_mix.entropy_mix(nothing).count() == 0 and entropy_mix.repeat_rows(nothing).count() == 0
 
 
+def test_equal_rows_share_the_extra_copies(spark):
+    """A source of 2,000 equal rows and one of 500, null ids included, come within a document of their targets."""
+    text = "w " * 5
+    rows = [(7, text, "a")] * 2000 + [(None, text, "b")] * 500 + [(k, "w " * (1 + k % 9), "c") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = entropy_mix.entropy_mix(docs)
+    assert mixed.count() == len(rows)
+    by_size = {r.source_size: r for r in mixed.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()}
+    assert set(by_size) == {10_000, 2_500, sum(1 + k % 9 for k in range(900))}
+    for r in by_size.values():
+        assert abs(r.taken - r.target) <= 10 and r.most <= 3
+    # the corpus holds as many rows as the copies say, from one pass over the texts
+    out = entropy_mix.repeat_rows(docs)
+    assert out.columns == docs.columns
+    assert out.groupBy("source").count().where("source = 'a'").first()["count"] * 5 == by_size[10_000].taken
+
+
+def test_numbers_of_equal_rows_have_no_gaps(spark):
+    rows = [(1, "s", 3)] * 50 + [(None, None, 3)] * 20 + [(k, "s", 3) for k in range(2, 9)] + [(3, None, 3)]
+    dealt = [(*r, k % 4) for k, r in enumerate(rows)]
+    frame = spark.createDataFrame(dealt, "doc_id long, source string, size long, __salt int").repartition(3)
+    _, told = entropy_mix.numbered(frame)
+    got = sorted((str(r.doc_id), str(r.source), r["__nth"]) for r in told.collect())
+    want = [("1", "s", k) for k in range(1, 51)] + [("None", "None", k) for k in range(1, 21)] + [(str(k), "s", 0) for k in range(2, 9)] + [("3", "None", 0)]
+    assert got == sorted(want)
+
+
 def test_one_hot_source(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
