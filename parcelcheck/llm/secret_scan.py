@@ -23,24 +23,26 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_letters", "entropy_alnum", "entropy_base64")
 
-#: A candidate is a whole run of key characters, this long or longer, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A candidate is a whole run of key characters, this long or longer, with a digit or a capital after a small letter.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 #: Class, the strings that belong to it (the first that fits counts), bits of entropy.
 CLASSES = (
     ("entropy_hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
+    ("entropy_letters", r"^[A-Za-z]+$", 3.9),
     ("entropy_alnum", r"^[A-Za-z0-9]+$", 3.6),
     ("entropy_base64", r".", 3.8),
 )
-#: Harmless strings: numbers, dates, ids in UUID form, words and numbers joined by marks, counted-up keys, placeholders.
+#: Harmless strings: numbers, dates, ids in UUID form, words and numbers joined by marks.
 ALLOWED = (
     r"^[0-9/_+=-]+$"
     r"|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-    r"|^(?:[A-Za-z]+|[0-9]+)(?:[/_+=-]+(?:[A-Za-z]+|[0-9]+))*[/_+=-]*$"
-    r"|0123456789|abcdefghijkl|(?i:example|placeholder|changeme)"
+    r"|^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_+=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_+=-]*$"
 )
+#: What makes the high-entropy part of a string harmless: counted-up keys, placeholders.
+HARMLESS = r"0123456789|abcdefghijkl|(?i:example|placeholder|changeme)"
 
 _SCALE = 1_000_000
 #: c * log2(c) of the counts a window can hold, as integers.
@@ -95,7 +97,7 @@ def entropy_spans(candidates: str) -> Column:
     """Of an array of candidate spans, those parts whose windows are over the bound.
 
     A span's part goes from the first such window's start to the last one's
-    end. The state holds a count for each distinct character of the string,
+    end; a part that holds a harmless piece is left out. The state holds a count for each distinct character of the string,
     the sum of c * log2(c) over the counts, and the part so far; a step takes
     one character in and, past the first window, one out.
     """
@@ -123,9 +125,10 @@ def entropy_spans(candidates: str) -> Column:
         "named_struct('codes', transform(q, y -> cast(array_position(d, y) as int) - 1),"
         f" 'letters', size(d), 'most', case {most} end, 'terms', array({_TERMS}))"
     )
+    part = "substring(x.body, r.first + 1, r.last - r.first)"
     span = (
         f"named_struct('start', x.start + r.first, 'rank', case {rank} end, 'stop', x.start + r.last,"
-        f" 'kind', if(r.first < 0, null, case {kind} end), 'body', x.body)"
+        f" 'kind', if(r.first < 0 or {part} rlike {quote(HARMLESS)}, null, case {kind} end), 'body', x.body)"
     )
     one = let("q", "split(x.body, '')", let("d", "array_distinct(q)", let("c", coded, let("r", walk, span))))
     wanted = f"filter({candidates}, x -> not x.body rlike {quote(ALLOWED)})"
@@ -137,7 +140,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Places are code points, the end is exclusive. Hits of one kind are leftmost
     and don't overlap; spans of different kinds may. ``body`` is the base hit
-    or the candidate. Null and empty texts have no spans.
+    or the candidate. Null and empty texts have no spans. Rows that repeat a
+    text or an id are scanned one by one; a very long text or string is scanned
+    whole, in time that grows with its length.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
     cut = body.select("doc_id", *[c for name, pattern in PATTERNS for c in hit_columns(name, pattern)])

@@ -34,7 +34,7 @@ def added_spans(text):
             i for i in range(len(s) - w + 1)
             if -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) >= bound - 1e-6
         ]
-        if hits:
+        if hits and not re.search(secret_scan.HARMLESS, s[hits[0] : hits[-1] + w]):
             out.append((m.start() + hits[0], 3 + rank, m.start() + hits[-1] + w))
     return out
 
@@ -81,6 +81,17 @@ def test_allow_list(spark):
     assert [(x.start, x.stop, x.kind) for x in row.added] == [(4, 4 + len(key), "entropy_alnum")]
 
 
+def test_keys_of_letters_and_keys_behind_harmless_names(spark):
+    key = "qRtLwXbVnKsYdHfJmZcGpTgB"
+    mixed = "q7Rt2LwX9bVn4KsY8dHf3JmZ"
+    texts = [f"see {key} here", f"example_cred={mixed}", "plain words only, nothing else", "Donaudampfschifffahrtsgesellschaft", "Some-Hyphenated-Words-In-A-Row", "changeme" * 4 + "Q1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][x.start : x.stop] for x in r.added] for r in secret_scan.find_secrets(df).collect()}
+    assert found[0] == [key] and found[1] == [mixed]
+    assert not found[2] and not found[3] and not found[4] and not found[5]
+    check(df)
+
+
 ROWS = "conv_id long, turn long, role string, text string"
 
 
