@@ -51,6 +51,45 @@ def message_events(rows: DataFrame) -> DataFrame:
     )
 
 
+def logged_events(rows: DataFrame) -> DataFrame:
+    """A plain table of turns as the log that a chat server could have written.
+
+    By a hash of each turn it is sent whole, streamed in three parts, edited
+    after a wrong draft, or regenerated after a draft and the beginning of a
+    next turn, which both become void. Folding the log gives the turns back.
+    """
+    turns = message_events(rows).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4)))
+    third = "length(text) div 3"
+
+    def log(*steps: tuple[str, str, str, str]) -> str:
+        """SQL of an array of (turn, kind, role, text), numbered in order."""
+        made = [
+            f"named_struct('turn', {turn}, 'seq', turn * 8 + {k}, 'kind', '{kind}', 'role', {role}, 'text', {text})"
+            for k, (turn, kind, role, text) in enumerate(steps)
+        ]
+        return f"array({', '.join(made)})"
+
+    start = f"substring(text, 1, cast({third} as int))"
+    rest = f"substring(text, cast({third} as int) + 1)"
+    ways = [
+        log(("turn", "message", "role", "text")),
+        log(
+            ("turn", "message", "role", start),
+            ("turn", "delta", "''", f"substring(text, cast({third} as int) + 1, cast({third} as int))"),
+            ("turn", "delta", "''", f"substring(text, 2 * cast({third} as int) + 1)"),
+        ),
+        log(("turn", "message", "'draft'", "reverse(text)"), ("turn", "delta", "''", "' and more'"), ("turn", "edit", "role", "text")),
+        log(
+            ("turn", "message", "role", "concat('draft of ', text)"),
+            ("turn + 1", "message", "'draft'", "'too early'"),
+            ("turn", "regenerate", "role", start),
+            ("turn", "delta", "''", rest),
+        ),
+    ]
+    chosen = "case way " + " ".join(f"when {k} then {w}" for k, w in enumerate(ways)) + " end"
+    return turns.select("conv_id", F.explode(F.expr(chosen)).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final ``(conv_id, turn, role, text)`` of a log.
 
@@ -155,10 +194,16 @@ def control_texts(spark: SparkSession) -> DataFrame:
 
 
 def chat_events(conversations: DataFrame) -> DataFrame:
-    """The contract's digest, read back from the formatted conversations."""
+    """The contract's digest, read back from the formatted conversations.
+
+    Turns are logged as events, folded, rendered and parsed. Null roles and
+    texts are empty, rows that repeat a turn stay turns, a null conv_id is a
+    conversation; an empty table leaves the control texts. A conversation,
+    however long, is one row in one task.
+    """
     columns = ["conv_id", "turn", "role", "text"]
     rows = conversations.select(*columns).unionByName(control_texts(conversations.sparkSession))
-    back = read_back(format_log(message_events(rows)))
+    back = read_back(format_log(logged_events(rows)))
     said = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from parcelcheck.llm import chat_events, secret_scan
 from parcelcheck.llm.queries import LLM_ORACLES, LLM_QUERIES
@@ -128,6 +129,20 @@ def test_chat_reads_back_odd_rows(spark):
         assert got[c].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_log_of_a_table_folds_back_to_it(spark):
+    """All four ways occur; drafts, void events and parts leave no trace."""
+    rows = [(c, t, "user" if t % 2 else "assistant", "x" * (c % 5) + f"text {c} {t} é\U0001f600") for c in range(12) for t in range(9)] + [(3, 9, None, None), (3, 10, "user", "")]
+    table = spark.createDataFrame(rows, ROWS)
+    log = chat_events.logged_events(table)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 10
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_events.fold(log).collect())
+    want = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_events.message_events(table).collect())
+    assert got == want
+    # the same events in any order of rows
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_events.fold(log.orderBy(F.desc("seq"))).collect()) == want
+
+
 def test_no_conversations_leave_the_control_texts(spark):
     assert chat_events.chat_events(spark.createDataFrame([], ROWS)).count() == 1
 
