@@ -511,11 +511,9 @@ def o1(spark, sf):
 
 # --- remote sensing -------------------------------------------------------
 
-# Sixteen plots; every event is a pixel of a scene of its day inside or
-# beside one of them.
-PLOTS16 = " UNION ALL ".join(
-    f"SELECT 'R{i}' AS plot_id, {720 + i % 4} AS w, {50 + i // 4} AS s" for i in range(16)
-)
+# A plot per supplier; every event is a pixel of a scene of its day inside or
+# beside one of the first sixteen, the others lie where no scene was taken.
+NDVI_PLOTS = """SELECT 'R' || cast(s_suppkey AS string) AS plot_id, 720 + s_suppkey % 4 AS w, 50 + s_suppkey {div} 4 AS s FROM supplier"""
 PIXELS = """SELECT 'sc' || cast(event_id % 30 AS string) || '-' || cast(user_id % 4 AS string) AS scene_id,
     TIMESTAMP '2024-01-01 00:00:00' AS day0, event_id % 30 AS dd, user_id % 25 AS cloud_pct,
     (7200 + event_id % 4 * 10 + user_id % 12) * 0.01e0 + 0.005e0 AS x,
@@ -529,15 +527,16 @@ def pixels(spark, sf) -> DataFrame:
     return rows.withColumn("ts", F.expr("cast(timestampadd(DAY, dd, day0) AS timestamp_ntz)")).drop("day0", "dd")
 
 
-def ndvi_plots(spark) -> DataFrame:
+def ndvi_plots(spark, sf) -> DataFrame:
     x0, y0 = F.col("w") / 10, F.col("s") / 10
     ring = F.array(
         R.vertex(x0, y0), R.vertex(x0 + 0.08, y0), R.vertex(x0 + 0.08, y0 + 0.08), R.vertex(x0, y0 + 0.08), R.vertex(x0, y0)
     )
-    return spark.sql(PLOTS16).select("plot_id", R.polygon(ring).alias("geom"))
+    rows = X._views(spark, sf, NDVI_PLOTS.format(div="div"), ("supplier",))
+    return rows.select("plot_id", R.polygon(ring).alias("geom"))
 
 
-NDVI = f"""WITH pl AS ({PLOTS16}), px AS ({PIXELS.format(div='//')}),
+NDVI = f"""WITH pl AS ({NDVI_PLOTS.format(div='//')}), px AS ({PIXELS.format(div='//')}),
 hit AS (SELECT plot_id, scene_id, day0 + dd * INTERVAL 1 DAY AS ts, x, y, (b8 - b4) * 1.0 / (b8 + b4) AS v FROM px
         JOIN pl ON x > w / 10.0 AND x < w / 10.0 + 0.08 AND y > s / 10.0 AND y < s / 10.0 + 0.08
         WHERE cloud_pct <= 20 AND dd < 25),
@@ -556,19 +555,19 @@ AS_OF = "2024-01-26 00:00:00"
     NDVI + f"SELECT pl.plot_id, {Q.scaled('mean_ndvi', 1000000)} AS ndvi FROM pl LEFT JOIN mv ON pl.plot_id = mv.plot_id",
 )
 def r1(spark, sf):
-    return ndvi.mean_ndvi(ndvi_plots(spark), pixels(spark, sf), AS_OF, cell=0.05).select(
+    return ndvi.mean_ndvi(ndvi_plots(spark, sf), pixels(spark, sf), AS_OF, cell=0.05).select(
         "plot_id", scaled(F.col("mean_ndvi"), 1000000).alias("ndvi")
     )
 
 
 @query("r2_image_dates", NDVI + "SELECT pl.plot_id, coalesce(image_dates, '') AS image_dates FROM pl LEFT JOIN dt ON pl.plot_id = dt.plot_id")
 def r2(spark, sf):
-    return ndvi.mean_ndvi(ndvi_plots(spark), pixels(spark, sf), AS_OF, cell=0.05).select("plot_id", "image_dates")
+    return ndvi.mean_ndvi(ndvi_plots(spark, sf), pixels(spark, sf), AS_OF, cell=0.05).select("plot_id", "image_dates")
 
 
 @query("w5_latest_scenes", NDVI + "SELECT plot_id, scene_id, strftime(ts, '%Y-%m-%d') AS day FROM used")
 def w5(spark, sf):
-    hits = ndvi.pixels_in_plots(ndvi.usable_pixels(pixels(spark, sf), AS_OF), ndvi_plots(spark), 0.05)
+    hits = ndvi.pixels_in_plots(ndvi.usable_pixels(pixels(spark, sf), AS_OF), ndvi_plots(spark, sf), 0.05)
     return ndvi.latest_scenes(hits).select("plot_id", "scene_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 

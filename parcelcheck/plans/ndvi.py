@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import cells as C
 from parcelcheck.params import CLOUD_LIMIT_PCT, NDVI_LOOKBACK_DAYS, NDVI_SCENES
+from parcelcheck.session import stage
 
 
 def usable_pixels(pixels: DataFrame, as_of: str, cloud_limit: int = CLOUD_LIMIT_PCT, days: int = NDVI_LOOKBACK_DAYS) -> DataFrame:
@@ -57,9 +58,11 @@ def ndvi(b8: Column, b4: Column) -> Column:
 def mean_ndvi(plots: DataFrame, pixels: DataFrame, as_of: str, cell: float = 0.01, n: int = NDVI_SCENES) -> DataFrame:
     """``plot_id, mean_ndvi, image_dates``; plots without a scene get NULL and no dates.
 
-    Mean over scenes per pixel first, then over the pixels of the plot.
+    Mean over scenes per pixel first, then over the pixels of the plot. Pixels
+    are read and joined once; scenes, dates and values come from the staged hits.
     """
-    hits = pixels_in_plots(usable_pixels(pixels, as_of), plots, cell)
+    found = pixels_in_plots(usable_pixels(pixels, as_of), plots, cell)
+    hits = stage(found.select("plot_id", "scene_id", "ts", "x", "y", "b4", "b8"), "pixel-hits")
     chosen = latest_scenes(hits, n)
     dates = chosen.groupBy("plot_id").agg(
         F.array_join(
