@@ -70,6 +70,7 @@ def join_levels(
 
 def tool_audit(m_plots: DataFrame) -> DataFrame:
     """Measuring methods, one row per plot (the first by subplot key)."""
+    # fixed values: the report's columns
     columns = ["enumerator", "measured_subplots", "dbh_method", "dbh_unit", "height_method"]
     return first_per_key(
         m_plots.select("PLOT_KEY", "SUBPLOT_KEY", *columns), ["PLOT_KEY"], ["SUBPLOT_KEY"]
@@ -90,25 +91,20 @@ def subplots_without_vegetation(m_plots: DataFrame, m_veg: DataFrame) -> DataFra
 def density(m_veg: DataFrame) -> DataFrame:
     """Sums per subplot with the distinct enumerators and comments.
 
-    Distinct values are found before they are collected, so a crowded
-    subplot is reduced by many tasks. Nulls count as a value.
+    One pass: rows are first summed per subplot, enumerator and comment, so a
+    crowded subplot is reduced by many tasks and only its distinct values meet.
+    Nulls count as a value.
     """
+    numbers = ["vegetation_type_number", "coverage_vegetation"]
+    lists = ["enumerator", "subplot_comments"]
+    parts = m_veg.groupBy("SUBPLOT_KEY", *lists).agg(*[F.sum(c).alias(c) for c in numbers])
 
-    def distinct_list(column: str) -> DataFrame:
-        value = F.struct(F.col(column).alias("v"))
-        return (
-            m_veg.select("SUBPLOT_KEY", value.alias("s"))
-            .distinct()
-            .groupBy("SUBPLOT_KEY")
-            .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias(column))
-        )
+    def values(column: str) -> Column:
+        found = F.collect_set(F.struct(F.col(column).alias("v")))
+        return F.transform(F.array_sort(found), lambda s: s["v"]).alias(column)
 
-    sums = m_veg.groupBy("SUBPLOT_KEY").agg(
-        F.coalesce(F.sum("vegetation_type_number"), F.lit(0)).alias("vegetation_type_number"),
-        F.coalesce(F.sum("coverage_vegetation"), F.lit(0)).alias("coverage_vegetation"),
-    )
-    return sums.join(distinct_list("enumerator"), "SUBPLOT_KEY").join(
-        distinct_list("subplot_comments"), "SUBPLOT_KEY"
+    return parts.groupBy("SUBPLOT_KEY").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers], *[values(c) for c in lists]
     )
 
 
@@ -123,6 +119,7 @@ def coverage_only(m_veg: DataFrame) -> DataFrame:
 
 
 def missing_measurements(m_veg: DataFrame, m_mea: DataFrame) -> DataFrame:
+    # fixed values: the report's columns
     return without(m_veg, m_mea, "SUBPLOT_KEY").select(
         "enumerator",
         "SUBPLOT_KEY",
@@ -259,6 +256,7 @@ def with_outliers(
 
 
 def height_check(m_mea: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    # fixed values: the report's columns
     columns = [
         "enumerator",
         "VEGETATION_KEY",
@@ -277,6 +275,7 @@ def tall_trees(m_mea: DataFrame) -> DataFrame:
 
 
 def coppice_check(m_mea: DataFrame) -> DataFrame:
+    # fixed values: the report's columns
     columns = [
         "enumerator",
         "VEGETATION_KEY",
@@ -292,6 +291,7 @@ def coppice_check(m_mea: DataFrame) -> DataFrame:
 
 
 def many_stems(m_mea: DataFrame) -> DataFrame:
+    # fixed values: the report's columns
     return m_mea.where(F.col("nr_stems_bh") > MAX_STEMS).select(
         "enumerator",
         "VEGETATION_KEY",
@@ -306,6 +306,7 @@ def many_stems(m_mea: DataFrame) -> DataFrame:
 
 
 def circumference_check(m_cir: DataFrame) -> DataFrame:
+    # fixed values: the report's columns
     columns = [
         "enumerator",
         "VEGETATION_KEY",

@@ -20,6 +20,7 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
+# The columns of the third form, and of the attribute file.
 FORM_V3 = _schema(
     k=L,
     starttime=TS,
