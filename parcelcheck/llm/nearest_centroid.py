@@ -117,13 +117,14 @@ def document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
 def sample(train: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` texts of every language, chosen by a hash of the text.
 
-    Languages are counted over all rows; the table of counts is joined back,
-    so nothing is collected for it. A few times the wanted number pass by the
+    Languages are counted over all rows; the counts, one for each language as in
+    the model itself, are broadcast, so that no text is shuffled before it is
+    drawn. A few times the wanted number pass by the
     share of their hash, equal texts are one, and of those the least hashes
     stay: rows that repeat a text or an id, also a null one, count once.
     """
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    drawn = train.withColumn("__share", hash_share(F.col("text"))).join(sizes, "lang")
+    drawn = train.withColumn("__share", hash_share(F.col("text"))).join(F.broadcast(sizes), "lang")
     few = drawn.where(F.col("__share") * F.col("__n") < 3 * per_language).dropDuplicates(["lang", "__share"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("__share"))
     return few.withColumn("__k", first).where(F.col("__k") <= per_language).select("doc_id", "text", "lang")
