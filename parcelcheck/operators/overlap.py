@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import cells as C
+from parcelcheck.operators.long_rings import to_utm
 from parcelcheck.operators.outline import add_buffer
 from parcelcheck.operators.skew import join_per_key
 
@@ -30,7 +31,7 @@ def table_plane(df: DataFrame, geom: str, out: str, keep: Column | None = None)
     ).scalar()
     rows = df if keep is None else df.where(keep)
     rows = rows.withColumn("_frame", frame)
-    plane = P.to_utm(F.col(geom), F.col("_frame.zone"), F.col("_frame.south"))
+    plane = to_utm(F.col(geom), F.col("_frame.zone"), F.col("_frame.south"))
     return R.settle(rows, **{out: plane}).drop("_frame")
 
 
