@@ -7,13 +7,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parcelcheck import params as C
+from parcelcheck.catalog import polygons as G
 from parcelcheck.functions import project as P
 from parcelcheck.functions import rings as R
 from parcelcheck.operators import long_rings as L
+from parcelcheck.operators import measure as M
 from parcelcheck.operators import outline as O
 from parcelcheck.operators import repair as E
 from parcelcheck.operators import ring_batches as B
 from parcelcheck.plans import roads
+from parcelcheck.session import spread
 
 
 def odd_shapes(count=600):
@@ -88,3 +92,55 @@ def test_road_distance_over_the_whole_network(spark):
     links = spark.createDataFrame([(i, i + 1, 1000) for i in range(6)], "src long, dst long, length_m long")
     out = roads.road_distance(plots, nodes, links, 73.0, 5.0, reach_m=None)
     assert {r.plot_id: (r.node_id, r.road_distance_km) for r in out.collect()} == {"near": (0, 0.0), "far": (6, 6.0)}
+
+
+def near(a, b):
+    if a is None or b is None or isinstance(a, bool):
+        return a == b
+    if isinstance(a, float):
+        return a == b or math.isnan(a) and math.isnan(b) or abs(a - b) <= 1e-6 * max(1.0, abs(b))
+    return len(a) == len(b) and all(map(near, a, b))
+
+
+def test_measures_of_one_pass_are_those_of_the_single_steps(spark):
+    rows = odd_shapes()
+    ring = [(0.0, 0.0), (0.002, 0.0), (0.002, 0.001), (0.0, 0.001), (0.0, 0.0)]
+    at = lambda x, y, n=1: [[[(x + n * a, y + n * b) for a, b in ring]]]
+    places = [(4.0, 60.0), (8.0, 75.0), (15.0, 75.0), (25.0, 75.0), (40.0, 75.0), (73.0, -9.0), (200.0, 5.0), (5.0, 86.0), (-179.999, 0.0)]
+    rows += [(1000 + k, at(x, y)) for k, (x, y) in enumerate(places)]
+    rows += [(2000, at(73.0, 9.0) + at(73.01, 9.0, 3)), (2001, [[]]), (2002, [[ring, []]]), (2003, [[[(1.0, 1.0)]]]), (2004, at(1.0, 1.0, 0))]
+    df = spark.createDataFrame(rows, f"k int, geom {R.GEOM_DDL}").withColumn("original_vertices", F.lit(0))
+    for spec in (C.SUBPLOTS_V1, C.SUBPLOTS_V2):
+        steps = M.add_rectangle(M.add_area(M.with_own_plane(df), spec.generation), spec.geodesic)
+        steps = M.add_in_radius(M.add_protruding_ratio(M.add_length_width_ratio(steps, spec), spec), spec)
+        kept = ["k", "area_m2", "length_width_ratio", "mrr_ratio", "in_radius", "protruding_ratio_too_big"]
+        old = {r.k: tuple(r)[1:] for r in steps.select(*kept).collect()}
+        new = {r.k: tuple(r)[1:] for r in M.measure(df, spec).select(*kept).collect()}
+        # of equal rectangles rounding picks one; its sides are not compared
+        loose = [k for k in old if not near(old[k][:1] + old[k][2:], new[k][:1] + new[k][2:])]
+        assert loose == [] and old.keys() == new.keys()
+
+
+def test_repair_and_measures_take_two_passes(spark, tmp_path):
+    """Each pass is a Python process beside every running task."""
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, date'2024-01-01' AS o_orderdate, 'x' AS o_orderpriority FROM range(100)").write.parquet(f"{tmp_path}/orders.parquet")
+    for spec in (C.SUBPLOTS_V1, C.SUBPLOTS_V2):
+        plan = G.measured(spark, str(tmp_path), spec)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2
+
+
+def test_simplification_takes_one_pass_and_keeps_odd_shapes(spark):
+    df = spark.createDataFrame(odd_shapes(), f"k int, geom {R.GEOM_DDL}")
+    out = E.simplify_geometry(df, 1.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    before, after = ({r.k: r.geom for r in d.collect()} for d in (df, out))
+    assert all((g is None) == (after[k] is None) and len(g or []) == len(after[k] or []) for k, g in before.items())
+
+
+def test_large_tables_are_dealt_to_tasks_of_bounded_size(spark):
+    """However few slots there are, a task's share stays the same."""
+    slots = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 100 * slots, 1, slots)
+    assert spread(rows, 1000).rdd.getNumPartitions() == slots
+    dealt = spread(rows, 10)
+    assert dealt.rdd.getNumPartitions() == 10 * slots and dealt.count() == 100 * slots
