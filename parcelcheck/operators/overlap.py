@@ -11,6 +11,7 @@ from parcelcheck.operators import cells as C
 from parcelcheck.operators.long_rings import to_utm
 from parcelcheck.operators.outline import add_buffer
 from parcelcheck.operators.skew import join_per_key
+from parcelcheck.session import stage
 
 BLOCK = 2000
 
@@ -61,6 +62,8 @@ def overlap_pairs(
         .withColumn("tag", F.xxhash64("geom"))
         .drop("geom")
     )
+    # read by the count of the cells and by both sides of the join
+    sized = stage(sized, "sized")
     placed = C.place(sized, "box", cell_m)
     placed = (
         placed.join(_blocks(placed, block), ["cx", "cy"], "left")
@@ -97,10 +100,11 @@ def overlap_partners(
 
     Copies of one shape are folded before the join and share one partner list.
     """
-    distinct = (
+    distinct = stage(
         shapes.where(F.size(geom) > 0)
         .groupBy(F.col(geom).alias("geom"))
-        .agg(F.collect_set(id_column).alias("ids"))
+        .agg(F.collect_set(id_column).alias("ids")),
+        "distinct",
     )
     pairs = overlap_pairs(distinct, min_overlap, cell_m)
     both_ways = pairs.select(

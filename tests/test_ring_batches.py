@@ -14,6 +14,7 @@ from parcelcheck.functions import rings as R
 from parcelcheck.operators import long_rings as L
 from parcelcheck.operators import measure as M
 from parcelcheck.operators import outline as O
+from parcelcheck.operators import overlap as V
 from parcelcheck.operators import repair as E
 from parcelcheck.operators import ring_batches as B
 from parcelcheck.plans import roads
@@ -144,3 +145,47 @@ def test_large_tables_are_dealt_to_tasks_of_bounded_size(spark):
     assert spread(rows, 1000).rdd.getNumPartitions() == slots
     dealt = spread(rows, 10)
     assert dealt.rdd.getNumPartitions() == 10 * slots and dealt.count() == 100 * slots
+
+
+def test_rings_shrunk_together_are_those_shrunk_one_by_one(spark):
+    random.seed(5)
+    rows = odd_shapes(300)
+    for k in range(300):
+        n, r = random.choice([3, 4, 5, 8, 12]), random.choice([4, 6, 30])
+        turns = sorted(random.random() for _ in range(n))
+        ring = [(r * math.cos(6.28 * a), r * math.sin(6.28 * a)) for a in turns[:: 1 if k % 2 else -1]]
+        rows.append((1000 + k, [[ring + ring[:1]]]))
+    df = spark.createDataFrame(rows, f"k int, geom {R.GEOM_DDL}")
+    # a crossed ring has no inside to keep: only valid shapes are buffered
+    df = df.where(L.is_valid(F.col("geom")) & (R.area(F.col("geom")) > 0))
+    # a side of no length stopped the column expression; it moves nothing
+    points = R.vertices(F.col("geom"))
+    df = df.where(F.size(F.array_distinct(points)) == F.size(points) - F.size(F.flatten("geom")))
+    alone = F.when((F.size("geom") == 1) & (F.size(F.col("geom")[0]) == 1), R.orient(F.col("geom"))[0][0])
+    old = O.shrink_convex(alone, 2.0)
+    out = O.add_buffer(df, "geom", "new", -2.0).select("k", "new", R.is_convex(alone).alias("convex"), old.alias("old")).collect()
+    convex = [r for r in out if r.convex]
+    assert len(convex) > 300 and [r.k for r in convex if r.old != r.new] == []
+    assert [r.k for r in out if r.new is None] == []
+
+
+def test_a_side_without_length_shrinks_nothing(spark):
+    square = [(0.0, 0.0), (20.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(1, [[square]])], f"k int, geom {R.GEOM_DDL}")
+    out = O.add_buffer(df, "geom", "new", -5.0).select(R.area(F.col("new")).alias("a")).first()
+    assert out.a == 100.0
+
+
+def test_shapes_of_the_overlap_test_are_made_once(spark):
+    """The join reads them several times; none of them comes from the table it was given."""
+    square = lambda x: [[[(x, 0.0), (x + 10.0, 0.0), (x + 10.0, 10.0), (x, 10.0), (x, 0.0)]]]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        made.add(1)
+        return k
+
+    rows = spark.createDataFrame([("a", square(0.0)), ("b", square(5.0)), ("c", square(50.0))], f"id string, geom {R.GEOM_DDL}")
+    counted = rows.withColumn("id", F.udf(seen, "string")("id"))
+    out = V.overlap_partners(counted, "id", "geom", 0.1, 80.0).collect()
+    assert {r.id: r.overlap_ids for r in out} == {"a": "b", "b": "a"} and made.value == 3
