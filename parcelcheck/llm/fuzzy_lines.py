@@ -12,7 +12,11 @@ next class, too.
 
 In every block each text meets the block's first one; linked texts form
 provisional groups, and where a block holds several groups, texts of different
-groups meet in pairs. Candidates are verified by the edit similarity of their
+groups meet in pairs. In a crowded block, the others first meet one more text
+of the largest group; of those that are left, only those meet that have one of
+their rarest words in common, so many that no similar pair is missed. Such a
+pair is compared where it is formed, by lengths and word sets first, so that
+only links leave the join. Candidates are verified by the edit similarity of their
 words: at most a fifth of the longer one's may have to be edited. Of a
 connected group's lines only the first, by doc_id and place, stays.
 
@@ -24,7 +28,7 @@ else is built-in functions.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,9 +51,13 @@ CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 11, 15
 CHUNK_CHARS = 500_000
 #: Rows of one side that meet in a cell of a large block.
 BLOCK_ROWS = 1000
+#: A block with more rows than this outside its largest group is crowded.
+CROWD = 16
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TO = "abcdefghijklmnopqrstuvwxyz000000000    "
 _FILTER_BITS = 1 << 20
+_WORD_BUCKETS = 1 << 16
+_SETS = [f"b{j}" for j in range(4)]
 #: Hash bits of a word that stand below its lane, a counter of four bits for every fourth of them, and shifts that are counted.
 _HASH = (1 << 48) - 1
 _EACH = sum(1 << j for j in range(0, 48, 4))
@@ -248,21 +256,70 @@ def coded_texts(texts: DataFrame, firsts: DataFrame, docs: DataFrame, own: Stage
     return own.write(once.select("k", "e", "n", *[F.col("sets")[j].alias(f"b{j}") for j in range(4)]), "line-words")
 
 
-def linked(edges: DataFrame, coded: DataFrame, own: Staged) -> DataFrame:
-    """Those candidates ``(a, b)`` whose words are similar enough, written to the shared folder.
+def likely(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """Lengths and word sets allow the two texts to be similar.
 
-    Lengths and word sets decide first: an edit changes the length by one and
-    exchanges two words at most. Only what passes meets the words.
-    """
-    sets = [f"b{j}" for j in range(4)]
-    side = lambda name: coded.select(F.col("k").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *sets)])
-    longer = F.greatest("a_n", "b_n")
-    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sets), F.lit(0))
-    likely = (5 * F.least("a_n", "b_n") >= 4 * longer) & (differ <= 2 * F.floor(longer / 5))
-    some = edges.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b")
+    An edit changes the length by one and exchanges two words at most."""
+    longer = F.greatest(one("n"), other("n"))
+    differ = sum((F.bit_count(one(c).bitwiseXOR(other(c))) for c in _SETS), F.lit(0))
+    return (5 * F.least(one("n"), other("n")) >= 4 * longer) & (differ <= 2 * F.floor(longer / 5))
+
+
+def likely_edges(edges: DataFrame, coded: DataFrame) -> DataFrame:
+    """Those candidates ``(a, b)`` whose lengths and word sets allow it."""
+    side = lambda name: coded.select(F.col("k").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *_SETS)])
+    met = edges.join(side("a"), "a").join(side("b"), "b")
+    return met.where(likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+
+
+def linked(edges: DataFrame, coded: DataFrame, own: Staged) -> DataFrame:
+    """Those candidates ``(a, b)`` whose words are similar enough, written to the shared folder."""
     left = coded.select(F.col("k").alias("a"), F.col("e").alias("ea"))
     right = coded.select(F.col("k").alias("b"), F.col("e").alias("eb"))
-    return own.write(some.join(left, "a").join(right, "b").where(similar("ea", "eb")).select("a", "b"), "line-links")
+    return own.write(edges.join(left, "a").join(right, "b").where(similar("ea", "eb")).select("a", "b"), "line-links")
+
+
+def mixed_blocks(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """``(key, crowded, k, grp, big, one)`` of the blocks ``(key, k)`` with several groups of
+    linked texts: ``big`` is a block's largest group, ``one`` any of its texts."""
+    grouped = components(links).select(F.col("id").alias("k"), F.col("component").alias("__c"))
+    labelled = shared.join(grouped, "k", "left").select("key", "k", F.coalesce("__c", "k").alias("grp"))
+    some = F.min_by("k", F.xxhash64("k", "grp")).alias("one")
+    sizes = labelled.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"), some)
+    spread = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "grp", "one")).alias("big"), F.sum("n").alias("of"), F.count(F.lit(1)).alias("groups")
+    )
+    spread = spread.where("groups > 1").select(
+        "key", (F.col("of") - F.col("big.n") > CROWD).alias("crowded"), F.col("big.grp").alias("big"), "big.one"
+    )
+    return labelled.join(spread, "key").select("key", "crowded", "k", "grp", "big", "one")
+
+
+def rare_words(coded: DataFrame) -> DataFrame:
+    """``(k, rare)``: of every text of n words, the n div 5 + 1 distinct words of the fewest texts.
+
+    Of a text of n words, n div 5 at most are missing from a similar text. So the first word that both have, in any
+    order of all words, is among these of either. Texts are counted for buckets of words; words of one bucket go by number.
+    """
+    words = coded.select("k", "n", F.array_distinct(F.split("e", "")).alias("c"))
+    bucket = F.pmod(F.ascii("w"), F.lit(_WORD_BUCKETS)).alias("bucket")
+    counts = [0] * _WORD_BUCKETS
+    for row in words.select(F.explode("c").alias("w")).groupBy(bucket).count().collect():  # at most _WORD_BUCKETS rows
+        counts[row["bucket"]] = row["count"]
+    often = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
+    ranks = F.transform("c", lambda x: often[F.pmod(F.ascii(x), F.lit(_WORD_BUCKETS))] * (1 << 20) + F.ascii(x))
+    return words.select("k", F.slice(F.sort_array(ranks), F.lit(1), F.expr("cast(n div 5 as int) + 1")).alias("rare"))
+
+
+def meeting_points(rows: DataFrame, coded: DataFrame) -> DataFrame:
+    """``(key, k, grp, e, n, b0, b1, b2, b3)`` of the blocks with several groups; a crowded block
+    has a key for each rare word. No similar pair of a block is without a key in common."""
+    few = rows.where("not crowded").select("key", "k", "grp")
+    crowd = rows.where("crowded")
+    rare = rare_words(coded.join(crowd.select("k").distinct(), "k", "left_semi"))
+    split = crowd.join(rare, "k").select("key", "k", "grp", F.explode("rare").alias("w"))
+    met = few.union(split.select(F.xxhash64("key", "w").alias("key"), "k", "grp"))
+    return met.join(coded, "k").select("key", "k", "grp", "e", "n", *_SETS)
 
 
 def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,6 +327,7 @@ def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The left side leaves out the block's largest group, so that its rows don't meet each other; blocks of one
     group have no rows. A large block is cut on both sides, and every two pieces are a join key (key, x, y) of their own.
+    All columns go along, those of the right side with a 2 behind their names.
     """
     sizes = labelled.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"))
     spread = sizes.groupBy("key").agg(
@@ -283,8 +341,9 @@ def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     mixed = labelled.join(spread, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = mixed.where("grp <> big").select("key", F.pmod("k", "nx").alias("x"), every("ny").alias("y"), "k", "grp")
-    second = [F.col(c).alias(f"{c}2") for c in ("k", "grp")]
+    facts = [c for c in labelled.columns if c != "key"]
+    left = mixed.where("grp <> big").select("key", F.pmod("k", "nx").alias("x"), every("ny").alias("y"), *facts)
+    second = [F.col(c).alias(f"{c}2") for c in facts]
     return left, mixed.select("key", every("nx").alias("x"), F.pmod("k", "ny").alias("y"), *second)
 
 
@@ -300,18 +359,20 @@ def line_groups(docs: DataFrame, keep: Staged) -> tuple[DataFrame, DataFrame]:
     star = own.write(keyed.join(heads, "key").where("k <> fk").distinct(), "line-blocks")
     shared = star.select("key", "k").union(star.select("key", "fk")).distinct()
     coded = coded_texts(shared.select("k").distinct(), firsts, docs, own)
-    first_links = linked(star.select(F.col("fk").alias("a"), F.col("k").alias("b")).distinct(), coded, own)
-    grouped = components(first_links).select(F.col("id").alias("k"), "component")
-    labelled = shared.join(grouped, "k", "left").select("key", "k", F.coalesce("component", "k").alias("grp"))
-    left, right = sides(labelled)
+    edges = star.select(F.col("fk").alias("a"), F.col("k").alias("b"))
+    links = linked(likely_edges(edges.distinct(), coded), coded, own)
+    rows = own.write(mixed_blocks(shared, links), "line-mixed")
+    # the largest group of a crowded block takes in what is similar to one more of its texts
+    edges = rows.where("crowded and grp <> big").select(F.col("one").alias("a"), F.col("k").alias("b"))
+    links = links.union(linked(likely_edges(edges.distinct(), coded), coded, own))
+    rows = own.write(mixed_blocks(rows.select("key", "k"), links), "line-mixed")
+    left, right = sides(own.write(meeting_points(rows, coded), "line-points"))
     pairs = (
         left.join(right, ["key", "x", "y"])
-        .where(F.col("grp") != F.col("grp2"))
+        .where((F.col("grp") != F.col("grp2")) & likely(F.col, lambda c: F.col(f"{c}2")) & similar("e", "e2"))
         .select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
     )
-    # pairs that the first pass has compared are not compared again
-    known = star.select(F.least("k", "fk").alias("a"), F.greatest("k", "fk").alias("b"))
-    links = first_links.union(linked(pairs.distinct().join(known, ["a", "b"], "left_anti"), coded, own))
+    links = links.union(own.write(pairs.distinct(), "line-links"))
     groups = keep.write(components(links).select(F.col("id").alias("k"), F.col("component").alias("grp")), "line-groups")
     own.clear()
     return lines.select("doc_id", "place", "k"), groups

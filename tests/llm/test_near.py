@@ -328,6 +328,54 @@ def test_large_blocks_are_cut_and_the_largest_group_never_meets_itself(spark, mo
     assert got == want
 
 
+def coded_lines(spark, lines):
+    """``(k, e, n, b0, b1, b2, b3)`` of lines numbered in order."""
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(lines)], "k long, w array<string>")
+    made = rows.select("k", fuzzy_lines.encoded().alias("e"), *fuzzy_lines.word_sets())
+    return made.select("k", "e", F.col("n").cast("int").alias("n"), *[F.col("sets")[j].alias(f"b{j}") for j in range(4)])
+
+
+def test_crowded_block_forms_few_pairs_and_misses_none(spark):
+    """Lines with a common word but little else in common don't all meet; similar ones do, and only they leave the join."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    lines = []
+    for _ in range(150):
+        base = ["the", "of"] + [word() for _ in range(rng.randint(3, 38))]
+        lines.append(base)
+        changed = list(base)
+        for _ in range(len(base) // 5):
+            at = rng.randrange(len(changed))
+            changed[at : at + 1] = rng.choice([[], [word()], [word(), changed[at]], ["the"]])
+        lines.append(changed)
+    lines.append(["the"] * 20 + ["of"] * 5 + ["a", "b", "c"])
+    lines.append(["the"] * 21 + ["of"] * 5 + ["d", "e", "f"])
+    coded = coded_lines(spark, lines)
+    rows = spark.createDataFrame([(1, True, k, k) for k in range(len(lines))], "key long, crowded boolean, k long, grp long")
+    left, right = fuzzy_lines.sides(fuzzy_lines.meeting_points(rows, coded))
+    met = left.join(right, ["key", "x", "y"])
+    assert met.count() < len(lines) ** 2 / 20
+    pairs = {(min(r.k, r.k2), max(r.k, r.k2)) for r in met.where(fuzzy_lines.similar("e", "e2") & (F.col("k") != F.col("k2"))).collect()}
+    fits = fuzzy_lines.likely(F.col, lambda c: F.col(f"{c}2"))
+    kept = {(min(r.k, r.k2), max(r.k, r.k2)) for r in met.where(fits & (F.col("k") != F.col("k2"))).collect()}
+    want = {(i, j) for i, j in combinations(range(len(lines)), 2) if edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 5}
+    assert len(want) > 100 and pairs == want and want <= kept
+
+
+def test_crowded_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "CROWD", 0)
+    rng = random.Random(3)
+    words = ["the", "of", "and"] + [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(70):
+        line = ["the", "of"] + rng.choices(words, k=rng.randint(3, 9))
+        near = list(line)
+        near[rng.randrange(len(near))] = rng.choice(words)
+        rows.append((k, " ".join(line) + "\n" + " ".join(near)))
+    got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == brute_dedup(rows)
+
+
 def test_lines_of_odd_rows(odd, nothing):
     left = fuzzy_lines.dedup_lines(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
