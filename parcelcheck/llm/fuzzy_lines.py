@@ -14,9 +14,10 @@ In every block each text meets the block's first one; linked texts form
 provisional groups, and where a block holds several groups, texts of different
 groups meet in pairs. In a crowded block, the others first meet one more text
 of the largest group; of those that are left, only those meet that have one of
-their rarest words in common, so many that no similar pair is missed. Such a
-pair is compared where it is formed, by lengths and word sets first, so that
-only links leave the join. Candidates are verified by the edit similarity of their
+their rarest words in common, so many that no similar pair is missed. Lengths
+and word sets are compared where a pair is formed; a pair leaves that join once
+for a block, without its words, and its words are compared once for all blocks.
+Candidates are verified by the edit similarity of their
 words: at most a fifth of the longer one's may have to be edited. Of a
 connected group's lines only the first, by doc_id and place, stays.
 
@@ -47,15 +48,14 @@ from parcelcheck.session import remove_staged, staging_path
 MIN_WORDS, EXACT_CHARS = 5, 20
 #: A class reaches from a number of distinct words to half as much more; words of a lane, about; words that its SimHash takes at most.
 CLASS_STEP, WORDS_A_LANE, LANE_WORDS = 1.5, 11, 15
-#: Characters whose words a task holds in arrays at once, about.
-CHUNK_CHARS = 500_000
+#: Characters whose words a task holds in arrays at once, about; texts that it remembers at least.
+CHUNK_CHARS, SEEN_TEXTS = 1_000_000, 200_000
 #: Rows of one side that meet in a cell of a large block.
 BLOCK_ROWS = 1000
 #: A block with more rows than this outside its largest group is crowded.
 CROWD = 16
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TO = "abcdefghijklmnopqrstuvwxyz000000000    "
-_FILTER_BITS = 1 << 20
 _WORD_BUCKETS = 1 << 16
 _SETS = [f"b{j}" for j in range(4)]
 #: Hash bits of a word that stand below its lane, a counter of four bits for every fourth of them, and shifts that are counted.
@@ -78,52 +78,56 @@ def text_key(words: Column) -> Column:
     return F.xxhash64(F.array_join(words, " "))
 
 
-def lane_keys(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lane_keys(lengths: np.ndarray, hashes: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all lines, one after the other, and how many each line has.
 
-    ``lengths`` are the words of each line, ``hashes`` those of all words. A
-    key hashes class, lane and the lane's SimHash. Counters of four bits hold
+    ``lengths`` are the words of each line, ``hashes`` those of all words or, with ``codes``, of the words
+    that these number. A key hashes class, lane and the lane's SimHash. Counters of four bits hold
     up to LANE_WORDS words; with 7 less half of the words added, the highest
     bit of each tells the majority.
     """
-    line = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    lengths, hashes = np.bincount(line[fresh], minlength=len(lengths)), hashes[fresh]
+    hashes, equal = np.unique(hashes, return_inverse=True)
+    codes = equal if codes is None else equal[codes]
+    # words are sorted as numbers that hold their line or lane in the high bits
+    bits = np.int64(max(len(hashes) - 1, 1)).item().bit_length()
+    mask = (1 << bits) - 1
+    both = _distinct((np.repeat(np.arange(len(lengths)), lengths) << bits) | codes)
+    lengths, codes = np.bincount(both >> bits, minlength=len(lengths)), both & mask
     own = np.floor(np.log(np.maximum(lengths, 1)) / math.log(CLASS_STEP)).astype(np.int64)
-    both = CLASS_STEP ** (own + 1) * 0.9 <= lengths
-    times = np.where(lengths >= MIN_WORDS, 1 + both, 0)
+    times = np.where(lengths >= MIN_WORDS, 1 + (CLASS_STEP ** (own + 1) * 0.9 <= lengths), 0)
     # a row for each line and class it has lanes of
     owner = np.repeat(np.arange(len(lengths)), times)
     second = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
     grade = own[owner] + second
-    lanes = np.maximum(np.floor(CLASS_STEP ** (grade + 1) / WORDS_A_LANE).astype(np.uint64) + np.uint64(1), np.uint64(2))
+    lanes = np.maximum(np.floor(CLASS_STEP ** (grade + 1) / WORDS_A_LANE).astype(np.int64) + 1, 2)
     sizes = lengths[owner]
     at = np.arange(int(sizes.sum())) + np.repeat((np.cumsum(lengths) - lengths)[owner] - (np.cumsum(sizes) - sizes), sizes)
-    h = hashes[at]
-    row = np.repeat(np.arange(len(owner)), sizes)
-    lane = ((h >> np.uint64(48)) % lanes[row]).astype(np.int64)
-    widest = int(lanes.max()) if len(lanes) else 1
-    group = row * widest + lane
-    low = (h & np.uint64(_HASH)).astype(np.int64)
-    order = np.lexsort((low, group))
-    group, low = group[order], low[order]
-    fresh = np.ones(len(group), bool)
-    fresh[1:] = (group[1:] != group[:-1]) | (low[1:] != low[:-1])
-    group, low = group[fresh], low[fresh]
+    code, row = codes[at], np.repeat(np.arange(len(owner)), sizes)
+    base = np.cumsum(lanes) - lanes
+    lane = (hashes >> np.uint64(48)).astype(np.int64)[code] % lanes[row]
+    lows, rank = np.unique((hashes & np.uint64(_HASH)).astype(np.int64), return_inverse=True)
+    both = _distinct(((base[row] + lane) << bits) | rank[code])
+    group, low = both >> bits, lows[both & mask]
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate((starts, [len(group)])))
     held = np.arange(len(group)) - np.repeat(starts, counts) < LANE_WORDS
     low, counts = low[held], np.minimum(counts, LANE_WORDS)
     named = group[starts]
-    key = _mixed((grade[named // widest] << 32) + named % widest)
+    of = np.searchsorted(base, named, side="right") - 1
+    key = _mixed((grade[of] << 32) + named - base[of])
     begins = np.cumsum(counts) - counts
     for j in range(_SHIFTS):
         sums = np.add.reduceat((low >> j) & _EACH, begins) if len(begins) else np.zeros(0, np.int64)
         key = _mixed(key ^ ((sums + (7 - counts // 2) * _EACH) & (8 * _EACH)))
-    return key, np.bincount(owner[named // widest], minlength=len(lengths))
+    return key, np.bincount(owner[of], minlength=len(lengths))
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in order, each once."""
+    numbers = np.sort(numbers)
+    fresh = np.ones(len(numbers), bool)
+    fresh[1:] = numbers[1:] != numbers[:-1]
+    return numbers[fresh]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,35 +140,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def eligible_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, k, keys)`` of the lines that count: the hash of their words and their lanes' keys."""
-
-    def of_texts(ids: list, texts: list) -> pa.RecordBatch:
-        doc, place, keys, lengths, words = [], [], [], [], []
-        for i, text in zip(ids, texts):
-            for n, line in enumerate(text.encode().translate(_TABLE, _DROPPED).split(b"\n")):
-                own = line.split()
-                joined = b" ".join(own)
-                if len(own) < MIN_WORDS and len(joined.decode()) < EXACT_CHARS:
-                    continue
-                doc.append(i)
-                place.append(n)
-                keys.append(xxhash.xxh64_intdigest(joined, seed=42))
-                lengths.append(len(own))
-                words += own
-        values = np.empty(len(words), dtype=object)
-        values[:] = words
-        lanes, many = lane_keys(np.array(lengths, np.int64), pd.util.hash_array(values, categorize=False))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(lanes, pa.int64()))
+    """``(doc_id, place, k, keys)`` of the lines that count: the hash of their words and their lanes' keys.
+
+    A task makes the keys of a text once among SEEN_TEXTS texts; its copies have none.
+    """
+
+    def of_texts(ids: np.ndarray, texts: list, seen: set) -> pa.RecordBatch:
+        body = ("\n".join(texts) + "\n").encode().translate(_TABLE, _DROPPED)
+        breaks = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
+        raw = np.frombuffer(body.replace(b"\n", b" "), np.uint8)
+        inside = raw != 32
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        turns = np.concatenate(([0], turns)) if inside[0] else turns
+        starts, ends = turns[::2], turns[1::2]
+        lengths = np.diff(np.searchsorted(starts, breaks), prepend=0)
+        # the words of all lines with one blank behind each
+        inside[ends] = True
+        joined = raw[inside].tobytes()
+        words_to = np.cumsum(lengths)
+        bytes_to = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        begin, end = bytes_to[words_to - lengths], bytes_to[words_to] - 1
+        counted = lengths >= MIN_WORDS
+        for n in np.flatnonzero(~counted & (end - begin >= EXACT_CHARS)).tolist():
+            counted[n] = len(joined[begin[n] : end[n]].decode()) >= EXACT_CHARS
+        view = memoryview(joined)
+        keys, fresh = [], []
+        for a, b in zip(begin[counted].tolist(), end[counted].tolist()):
+            k = xxhash.xxh64_intdigest(view[a:b], seed=42)
+            keys.append(k)
+            fresh.append(k not in seen)
+            seen.add(k)
+        fresh = np.array(fresh, bool)
+        hashed = np.zeros(len(lengths), bool)
+        hashed[np.flatnonzero(counted)[fresh]] = True
+        offsets = pa.py_buffer(bytes_to.astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(joined)]).dictionary_encode()
+        distinct = np.empty(len(words.dictionary), dtype=object)
+        distinct[:] = [w[:-1] for w in words.dictionary.to_numpy(zero_copy_only=False)]
+        codes = words.indices.to_numpy(zero_copy_only=False)[np.repeat(hashed, lengths)].astype(np.int64)
+        lanes, few = lane_keys(lengths[hashed], pd.util.hash_array(distinct, categorize=False), codes)
+        many = np.zeros(len(fresh), np.int64)
+        many[fresh] = few
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(lanes, pa.int64()))
+        in_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        place = np.arange(len(lengths)) - np.repeat(np.cumsum(in_text) - in_text, in_text)
+        doc = np.repeat(np.arange(len(texts)), in_text)[counted]
         k = pa.array(np.array(keys, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), k, lists], names=["doc_id", "place", "k", "keys"])
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(doc)), pa.array(place[counted], pa.int32()), k, lists], names=["doc_id", "place", "k", "keys"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             ends = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
             for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
-                yield of_texts([ids[n] for n in cut], [texts[n] for n in cut])
+                if len(seen) > SEEN_TEXTS:
+                    seen.clear()
+                if len(cut):
+                    yield of_texts(batch.column(0).slice(cut[0], len(cut)), [texts[n] for n in cut], seen)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body")).where(F.length("body") > 0)
     return rows.mapInArrow(run, "doc_id long, place int, k long, keys array<long>")
@@ -207,18 +242,23 @@ class Staged:
         self.paths = []
 
 
-def _bit_test(bits: bytearray, *columns: str) -> Column:
-    spot = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10)
-    return F.call_function("shiftright", byte.cast("int"), spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _bits_of(hashes: DataFrame, own: Staged) -> tuple[DataFrame, int]:
+    """One row ``bits``, an array of numbers with a bit for each hash ``h``, and how many bits it has:
+    eight for a hash at least, so that few others meet one."""
+    hashes = own.write(hashes, "line-bits")
+    size = 1 << max(16, (8 * hashes.count()).bit_length())
+    spot = F.pmod("h", F.lit(size))
+    part = F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("part")
+    parts = hashes.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("id")).agg(part)
+    filled = hashes.sparkSession.range(size // 64).join(parts, "id", "left").select("id", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+    row = filled.agg(F.array_sort(F.collect_list(F.struct("id", "part"))).alias("all"))
+    return own.write(row.select(F.col("all.part").alias("bits")), "line-bits"), size
 
 
-def _bits_of(rows: DataFrame, *columns: str) -> bytearray:
-    bits = bytearray(_FILTER_BITS // 8)
-    spot = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS)).cast("int")
-    for row in rows.select(spot.alias("s")).distinct().collect():  # at most _FILTER_BITS numbers
-        bits[row.s >> 3] |= 1 << (row.s & 7)
-    return bits
+def _bit_test(size: int, *columns: str) -> Column:
+    spot = F.pmod(F.xxhash64(*columns), F.lit(size))
+    part = F.get("bits", F.call_function("shiftright", spot, F.lit(6)).cast("int"))
+    return F.call_function("shiftright", part, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def word_sets(words: str = "w") -> list[Column]:
@@ -238,21 +278,22 @@ def coded_texts(texts: DataFrame, firsts: DataFrame, docs: DataFrame, own: Stage
     """``(k, e, n, b0, b1, b2, b3)`` of the wanted texts ``k``, written to the shared folder.
 
     Words are read again from the one document line that stands for a text.
-    Two bit arrays of fixed size keep most documents and most lines of the
-    others out of the shuffle.
+    A broadcast array of bits keeps most other lines out of the shuffle.
     """
     wanted = own.write(texts.join(firsts, "k").select("k", "doc_id", "place"), "line-places")
-    in_docs, in_lines = _bits_of(wanted, "doc_id"), _bits_of(wanted, "doc_id", "place")
+    hashes = wanted.select(F.xxhash64("doc_id").alias("h")).distinct().union(wanted.select(F.xxhash64("doc_id", "place")))
+    bits, size = _bits_of(hashes, own)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     # the documents' test comes before any text is cut
-    parts = settle(rows, likely=_bit_test(in_docs, "doc_id")).where("likely").select(
+    parts = rows.join(F.broadcast(bits), _bit_test(size, "doc_id"), "left_semi").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")
     )
-    lines = parts.where(_bit_test(in_lines, "doc_id", "place")).join(wanted, ["doc_id", "place"])
-    words = settle(lines.select("k", "line"), w=line_words(F.col("line")))
+    lines = parts.join(F.broadcast(bits), _bit_test(size, "doc_id", "place"), "left_semi").join(wanted, ["doc_id", "place"])
+    words = settle(lines, w=line_words(F.col("line")))
     # where rows repeat a doc_id, the line must be the one that was hashed
-    made = words.where(text_key(F.col("w")) == F.col("k")).select("k", encoded().alias("e"), *word_sets())
-    once = made.groupBy("k").agg(F.first("e").alias("e"), F.first("n").alias("n"), F.first("sets").alias("sets"))
+    made = words.where(text_key(F.col("w")) == F.col("k")).select("doc_id", "place", "k", encoded().alias("e"), *word_sets())
+    # a text has one place, so this asks for no other order than the join
+    once = made.groupBy("doc_id", "place", "k").agg(F.first("e").alias("e"), F.first("n").alias("n"), F.first("sets").alias("sets"))
     return own.write(once.select("k", "e", "n", *[F.col("sets")[j].alias(f"b{j}") for j in range(4)]), "line-words")
 
 
@@ -279,11 +320,25 @@ def linked(edges: DataFrame, coded: DataFrame, own: Staged) -> DataFrame:
     return own.write(edges.join(left, "a").join(right, "b").where(similar("ea", "eb")).select("a", "b"), "line-links")
 
 
-def mixed_blocks(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """``(key, crowded, k, grp, big, one)`` of the blocks ``(key, k)`` with several groups of
-    linked texts: ``big`` is a block's largest group, ``one`` any of its texts."""
-    grouped = components(links).select(F.col("id").alias("k"), F.col("component").alias("__c"))
-    labelled = shared.join(grouped, "k", "left").select("key", "k", F.coalesce("__c", "k").alias("grp"))
+def joined_groups(groups: DataFrame, links: DataFrame, own: Staged) -> DataFrame:
+    """``(k, grp)`` of groups joined by further links ``(a, b)``, written to the shared folder.
+
+    Only links between groups take part in the rounds, as links of the groups' names."""
+    home = lambda c: groups.select(F.col("k").alias(c), F.col("grp").alias(f"g{c}"))
+    named = links.join(home("a"), "a", "left").join(home("b"), "b", "left")
+    between = own.write(named.select("a", "b", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")).where("ga <> gb"), "line-links")
+    if between.isEmpty():
+        return groups
+    upper = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+    alone = between.where("a = ga").select("a", "ga").union(between.where("b = gb").select("b", "gb")).distinct()
+    every = groups.union(alone.join(groups, F.col("a") == F.col("k"), "left_anti")).join(upper, F.col("grp") == F.col("id"), "left")
+    return own.write(every.select("k", F.coalesce("component", "grp").alias("grp")), "line-groups")
+
+
+def mixed_blocks(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(key, crowded, k, grp, big, one)`` of the blocks ``(key, k)`` with several of the
+    groups ``(k, grp)``: ``big`` is a block's largest group, ``one`` any of its texts."""
+    labelled = shared.join(groups, "k", "left").select("key", "k", F.coalesce("grp", "k").alias("grp"))
     some = F.min_by("k", F.xxhash64("k", "grp")).alias("one")
     sizes = labelled.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"), some)
     spread = sizes.groupBy("key").agg(
@@ -311,15 +366,18 @@ def rare_words(coded: DataFrame) -> DataFrame:
     return words.select("k", F.slice(F.sort_array(ranks), F.lit(1), F.expr("cast(n div 5 as int) + 1")).alias("rare"))
 
 
-def meeting_points(rows: DataFrame, coded: DataFrame) -> DataFrame:
-    """``(key, k, grp, e, n, b0, b1, b2, b3)`` of the blocks with several groups; a crowded block
-    has a key for each rare word. No similar pair of a block is without a key in common."""
-    few = rows.where("not crowded").select("key", "k", "grp")
+def meeting_points(rows: DataFrame, coded: DataFrame, own: Staged | None = None) -> DataFrame:
+    """``(key, k, grp, w, rare, e, n, b0, b1, b2, b3)`` of the blocks with several groups; a crowded block
+    has a key for each rare word ``w``. No similar pair of a block is without a key in common."""
+    none = [F.lit(None).cast("long").alias("w"), F.lit(None).cast("array<long>").alias("rare")]
+    few = rows.where("not crowded").select("key", "k", "grp", *none)
     crowd = rows.where("crowded")
-    rare = rare_words(coded.join(crowd.select("k").distinct(), "k", "left_semi"))
-    split = crowd.join(rare, "k").select("key", "k", "grp", F.explode("rare").alias("w"))
-    met = few.union(split.select(F.xxhash64("key", "w").alias("key"), "k", "grp"))
-    return met.join(coded, "k").select("key", "k", "grp", "e", "n", *_SETS)
+    ids = crowd.select("k").distinct()
+    mine = coded.join(own.write(ids, "line-crowd") if own else ids, "k", "left_semi").select("k", "n", "e")
+    rare = rare_words(own.write(mine, "line-crowd") if own else mine)
+    split = crowd.join(rare, "k").select("key", "k", "grp", F.explode("rare").alias("w"), "rare")
+    met = few.union(split.select(F.xxhash64("key", "w").alias("key"), "k", "grp", "w", "rare"))
+    return met.join(coded, "k").select("key", "k", "grp", "w", "rare", "e", "n", *_SETS)
 
 
 def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -347,33 +405,41 @@ def sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, mixed.select("key", every("nx").alias("x"), F.pmod("k", "ny").alias("y"), *second)
 
 
+def block_pairs(points: DataFrame) -> DataFrame:
+    """The likely pairs ``(a, b)`` of different groups among the rows of ``meeting_points``.
+
+    A pair that has several rare words of a block in common leaves the join by the first of them only."""
+    left, right = sides(points)
+    met = left.join(right, ["key", "x", "y"]).where((F.col("grp") != F.col("grp2")) & likely(F.col, lambda c: F.col(f"{c}2")))
+    once = met.where("w is null or w = array_min(array_intersect(rare, rare2))")
+    return once.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
+
+
 def line_groups(docs: DataFrame, keep: Staged) -> tuple[DataFrame, DataFrame]:
     """All eligible lines ``(doc_id, place, k)``, and ``(k, grp)`` of the texts with a similar other text."""
     own = Staged(docs.sparkSession)
     lines = keep.write(eligible_lines(docs), "lines")
     # copies of a text combine on the map side
     firsts = own.write(lines.groupBy("k").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("k", "at.*"), "line-firsts")
-    keyed = lines.select(F.explode("keys").alias("key"), "k")
-    heads = keyed.groupBy("key").agg(F.min("k").alias("fk"))
-    # in a skewed block the join can be split; only texts that meet another one go on
-    star = own.write(keyed.join(heads, "key").where("k <> fk").distinct(), "line-blocks")
+    # one shuffle serves the blocks' first texts and all others; only texts that meet another one go on
+    keyed = lines.select(F.explode("keys").alias("key"), "k").where("key is not null and k is not null").repartition("key")
+    heads = keyed.groupBy("key").agg(F.min("k").alias("fk"), F.max("k").alias("__last")).where("fk <> __last").select("key", "fk")
+    star = own.write(keyed.join(heads.hint("shuffle_hash"), "key").where("k <> fk").distinct(), "line-blocks")
     shared = star.select("key", "k").union(star.select("key", "fk")).distinct()
     coded = coded_texts(shared.select("k").distinct(), firsts, docs, own)
     edges = star.select(F.col("fk").alias("a"), F.col("k").alias("b"))
     links = linked(likely_edges(edges.distinct(), coded), coded, own)
-    rows = own.write(mixed_blocks(shared, links), "line-mixed")
+    groups = own.write(components(links).select(F.col("id").alias("k"), F.col("component").alias("grp")), "line-groups")
+    rows = own.write(mixed_blocks(shared, groups), "line-mixed")
     # the largest group of a crowded block takes in what is similar to one more of its texts
-    edges = rows.where("crowded and grp <> big").select(F.col("one").alias("a"), F.col("k").alias("b"))
-    links = links.union(linked(likely_edges(edges.distinct(), coded), coded, own))
-    rows = own.write(mixed_blocks(rows.select("key", "k"), links), "line-mixed")
-    left, right = sides(own.write(meeting_points(rows, coded), "line-points"))
-    pairs = (
-        left.join(right, ["key", "x", "y"])
-        .where((F.col("grp") != F.col("grp2")) & likely(F.col, lambda c: F.col(f"{c}2")) & similar("e", "e2"))
-        .select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-    )
-    links = links.union(own.write(pairs.distinct(), "line-links"))
-    groups = keep.write(components(links).select(F.col("id").alias("k"), F.col("component").alias("grp")), "line-groups")
+    edges = own.write(rows.where("crowded and grp <> big").select(F.col("one").alias("a"), F.col("k").alias("b")).distinct(), "line-pairs")
+    if not edges.isEmpty():
+        pairs = own.write(likely_edges(edges, coded), "line-pairs")
+        groups = joined_groups(groups, linked(pairs, coded, own), own)
+        rows = own.write(mixed_blocks(rows.select("key", "k"), groups), "line-mixed")
+    points = own.write(meeting_points(rows, coded, own).drop("e"), "line-points")
+    pairs = own.write(block_pairs(points).distinct(), "line-pairs")
+    groups = keep.write(joined_groups(groups, linked(pairs, coded, own), own), "line-groups")
     own.clear()
     return lines.select("doc_id", "place", "k"), groups
 

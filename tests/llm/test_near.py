@@ -362,6 +362,50 @@ def test_crowded_block_forms_few_pairs_and_misses_none(spark):
     assert len(want) > 100 and pairs == want and want <= kept
 
 
+def test_pair_of_a_crowded_block_leaves_the_join_once(spark):
+    """Near copies have many rare words in common, but each pair is compared for one of them only."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(40)]
+    lines = []
+    for _ in range(30):
+        line = list(base)
+        for at in rng.sample(range(40), 2):
+            line[at] = f"v{rng.randrange(3000)}"
+        lines.append(line)
+    coded = coded_lines(spark, lines)
+    rows = spark.createDataFrame([(1, True, k, k) for k in range(30)], "key long, crowded boolean, k long, grp long")
+    pairs = [(r.a, r.b) for r in fuzzy_lines.block_pairs(fuzzy_lines.meeting_points(rows, coded)).collect()]
+    want = {(i, j) for i, j in combinations(range(30), 2) if edits(lines[i], lines[j]) <= 8}
+    assert want <= set(pairs) and max(Counter(pairs).values()) <= 2  # either of the two may be on the left side
+
+
+def test_groups_joined_by_further_links_equal_those_of_all_links(spark):
+    rng = random.Random(13)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(5, 5), (399, 398)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = components.components(frame(links)).select(F.col("id").alias("k"), F.col("component").alias("grp"))
+    own = fuzzy_lines.Staged(spark)
+    got = {r.k: r.grp for r in fuzzy_lines.joined_groups(first, frame(more), own).collect()}
+    want = {r.id: r.component for r in components.components(frame(links + more)).collect()}
+    assert {k: g for k, g in want.items() if g != k} == {k: g for k, g in got.items() if g != k}
+    assert fuzzy_lines.joined_groups(first, frame([]), own) is first
+    own.clear()
+
+
+def test_copies_of_a_line_have_keys_once_in_a_task(spark):
+    line = "one two three four five six seven eight"
+    rows = [(k, f"{line}\n\n  \tGrüße, {line}!\nx y\n{line.upper()}.") for k in range(5)]
+    made = fuzzy_lines.eligible_lines(spark.createDataFrame(rows, DOCS).coalesce(1)).orderBy("doc_id", "place").collect()
+    assert [(r.doc_id, r.place) for r in made] == [(k, n) for k in range(5) for n in (0, 2, 4)]
+    first, second = made[0], made[1]
+    assert [len(r.keys) > 0 for r in made] == [True, True] + [False] * 13
+    assert {r.k for r in made if r.place != 2} == {first.k} and {r.k for r in made if r.place == 2} == {second.k}
+    found = {r.place: r.k for r in spark.createDataFrame([(0, line), (2, f"grüße {line}")], "place int, t string").select("place", F.xxhash64("t").alias("k")).collect()}
+    assert (first.k, second.k) == (found[0], found[2])
+    assert len(first.keys) == len(lanes_of(norm_words(line)))
+
+
 def test_crowded_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "CROWD", 0)
     rng = random.Random(3)
