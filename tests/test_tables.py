@@ -206,6 +206,59 @@ def test_far_points_meet_the_edge_of_a_town_only(spark):
     assert all(r.n <= 16 or r.level == roads.DEPTH for r in leaves) and max(r.n for r in leaves) == 100
 
 
+def test_points_meet_only_the_nodes_in_reach_of_their_group(spark, monkeypatch):
+    """A town of points and nodes, a ring of nodes round a far point; lists are cut, points come twice."""
+    import math
+
+    rng = random.Random(7)
+    nodes = [(i, 10 + rng.uniform(0, 0.5), 50 + rng.uniform(0, 0.5)) for i in range(800)]
+    nodes += [(900, nodes[5][1], nodes[5][2]), (None, nodes[6][1], nodes[6][2])]
+    nodes += [(1000 + i, -60 + math.cos(i / 10), math.sin(i / 10)) for i in range(62)]
+    points = [(i % 590, 10 + rng.uniform(0, 0.5), 50 + rng.uniform(0, 0.5)) for i in range(600)]
+    points += [points[0], (None, 10.2, 50.2), (700, -60.0, 0.0), (701, nodes[5][1], nodes[5][2]), (702, nodes[6][1], nodes[6][2])]
+    written, staged = {}, roads._staged
+
+    def seen(rows, label):
+        path, back = staged(rows, label)
+        written[label] = back.selectExpr("group", "size(near) AS n").collect() if label == "near-nodes" else back.count()
+        return path, back
+
+    monkeypatch.setattr(roads, "_staged", seen)
+    monkeypatch.setattr(roads, "_LISTED", 8)
+    frame = spark.createDataFrame(points, "point_id long, lon double, lat double")
+    got = roads.nearest_nodes(frame, spark.createDataFrame(nodes, "node_id long, lon double, lat double"), leaf=16).collect()
+    want = []
+    for k, x, y in set(points):
+        shrink = math.cos(math.radians(y))
+        d = lambda n: math.sqrt(((n[1] - x) * shrink) ** 2 + (n[2] - y) ** 2)
+        want.append((k, min(nodes, key=lambda n: (d(n), n[0] is not None, n[0] or 0))[0]))
+    far = [g for g in got if g.point_id == 700]
+    assert len(far) == 1 and far[0].node_id >= 1000
+    known = lambda rows: sorted((str(k), str(n)) for k, n in rows if k != 700)
+    assert known(got) == known(want)
+    town = [r.n for r in written["near-nodes"]]
+    assert sum(town) < 5 * len(set(r.group for r in written["near-nodes"])) + 62 and max(town) < 30
+
+
+def test_steps_leave_no_shuffle_files(spark, tmp_path):
+    """The files of a step go with it, those of other actions stay."""
+    from parcelcheck.session import drop_shuffles, stage
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    before = shuffles().size()
+    with drop_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        rows.write.parquet(str(tmp_path / "a"))
+    staged = stage(rows, "seventh")
+    assert spark.conf.get(name) == "false" and staged.count() == 7
+    spark._jvm.Thread.sleep(500)
+    left = shuffles().size()
+    rows.write.parquet(str(tmp_path / "b"))
+    assert left <= before and shuffles().size() > left
+
+
 def test_paths_cross_blocks_and_come_back(spark):
     """A grid of roads in blocks of a few links; lengths equal one walk over the whole graph."""
     rng = random.Random(11)
